@@ -94,7 +94,8 @@ def predictions(spark, sf_dir):
 def with_trends(spark, sf_dir):
     t = _tables(spark, sf_dir)
     rollup = trend_plans.run_rollup(t["posts"], t["post_topics"], t["topics"], t["sentiment"])
-    ranked = trend_plans.ranked_trends(rollup)
+    clock = t["posts"].agg(F.max("timestamp").alias("clock")).scalar()
+    ranked = trend_plans.ranked_trends(rollup, clock=clock)
     listed = topic_plans.list_topics(t["topics"], ranked)
     return listed.select("topic_id", "post_count", "trend_score", "classification")
 

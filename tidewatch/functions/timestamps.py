@@ -71,9 +71,10 @@ def parse_timestamp(raw: Column, free_form: bool = True) -> Column:
         return standard
 
     def parse(texts: pd.Series) -> pd.Series:
-        distinct = [text for text in texts.dropna().str.strip().unique() if text]
-        parsed = {text: pd.to_datetime(text, utc=True, errors="coerce") for text in distinct}
-        found = texts.str.strip().map(parsed)
+        distinct = pd.Series(texts.dropna().str.strip().unique(), dtype="object")
+        distinct = distinct[distinct != ""]
+        times = pd.to_datetime(distinct, utc=True, errors="coerce", format="mixed")
+        found = texts.str.strip().map(dict(zip(distinct, times)))
         return pd.to_datetime(found, utc=True).astype("datetime64[us, UTC]")
 
     free = F.pandas_udf(parse, TimestampType())

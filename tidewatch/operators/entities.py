@@ -18,7 +18,8 @@ from tidewatch.session import small_enough
 MAX_WORDS = 5
 BROADCAST_ROWS = 200_000
 MENTION_SCHEMA = "text string, label string, start_char int, end_char int"
-_EDGE = r"[ \t\n.,;:!?]"
+_EDGE = " \t\n.,;:!?"
+_BLOCK = 64  # words
 
 
 def tagged_text(posts: DataFrame) -> DataFrame:
@@ -27,14 +28,38 @@ def tagged_text(posts: DataFrame) -> DataFrame:
     return posts.select("post_id", text.alias("text"))
 
 
-def _words_with_offsets(text: Column) -> Column:
-    """Words of single-spaced text with the offset of their first character."""
-    start = F.struct(
-        F.lit(0).alias("next"), F.array().cast("array<struct<word:string,start:int>>").alias("words")
+def _blocks(text: Column) -> Column:
+    """Single-spaced text cut into blocks of words, each with the offset of its first character.
+
+    A block carries the next words too, so that a phrase may run over its end. Folding over blocks
+    keeps the work linear in the text.
+    """
+    words = F.split(text, " ")
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.size(words) - 1, F.lit(_BLOCK)),
+        lambda start: F.slice(words, start + 1, F.lit(_BLOCK + MAX_WORDS - 1)),
+    )
+    lengths = F.transform(
+        blocks,
+        lambda b: F.aggregate(F.slice(b, 1, _BLOCK), F.lit(0), lambda n, w: n + F.length(w) + 1),
     )
+    offsets = F.aggregate(
+        lengths,
+        F.array(F.lit(0)),
+        lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)),
+    )
+    return F.zip_with(
+        blocks, F.slice(offsets, F.lit(1), F.size(blocks)),
+        lambda b, offset: F.struct(b.alias("words"), offset.alias("offset")),
+    )
+
+
+def _with_offsets(words: Column, offset: Column) -> Column:
+    """Words of a block with the offset of their first character."""
+    entry = "array<struct<word:string,start:int>>"
     return F.aggregate(
-        F.split(text, " "),
-        start,
+        words,
+        F.struct(offset.alias("next"), F.array().cast(entry).alias("words")),
         lambda state, word: F.struct(
             (state["next"] + F.length(word) + 1).alias("next"),
             F.concat(
@@ -47,7 +72,7 @@ def _words_with_offsets(text: Column) -> Column:
 
 
 def _trimmed(phrase: Column) -> Column:
-    return F.regexp_replace(phrase, rf"\A{_EDGE}+|{_EDGE}+\z", "")
+    return F.btrim(phrase, F.lit(_EDGE))
 
 
 def gazetteer_candidates(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -55,15 +80,24 @@ def gazetteer_candidates(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     names = gazetteer.select(
         F.lower(T.collapse_space(F.col("phrase"))).alias("key"), "label"
     ).distinct()
-    first_words = names.select(F.substring_index("key", " ", 1).alias("first")).distinct()
-    words = texts.where("text <> ''").select("post_id", _words_with_offsets(F.col("text")).alias("w"))
-    # Each word with the four behind it; the whole array does not travel along.
-    runs = words.select(
-        "post_id",
-        F.explode(
-            F.transform("w", lambda x, i: F.slice("w", i + 1, F.lit(MAX_WORDS)))
-        ).alias("run"),
-    ).select("post_id", "run", F.lower(_trimmed(F.col("run")[0]["word"])).alias("first"))
+    first_words = names.select(
+        F.lower(_trimmed(F.substring_index("key", " ", 1))).alias("first")
+    ).distinct()
+    blocks = (
+        texts.select("post_id", F.explode_outer(_blocks(F.col("text"))).alias("b"))
+        .where("b IS NOT NULL")
+        .select("post_id", _with_offsets(F.col("b.words"), F.col("b.offset")).alias("w"))
+    )
+    # Each word with the four behind it; neither text nor word array travels along.
+    own = F.sequence(F.lit(1), F.least(F.size("w"), F.lit(_BLOCK)))
+    runs = (
+        blocks.select(
+            "post_id",
+            F.explode_outer(F.transform(own, lambda i: F.slice("w", i, F.lit(MAX_WORDS)))).alias("run"),
+        )
+        .where("run IS NOT NULL")
+        .withColumn("first", F.lower(_trimmed(F.col("run")[0]["word"])))
+    )
     few = small_enough(names, BROADCAST_ROWS)
     runs = runs.join(F.broadcast(first_words) if few else first_words, "first", "left_semi")
     phrases = runs.select(
@@ -78,9 +112,7 @@ def gazetteer_candidates(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
     surface = phrases.select(
         "post_id",
-        (
-            F.col("start") + F.length("raw") - F.length(F.regexp_replace("raw", rf"\A{_EDGE}+", ""))
-        ).alias("start_char"),
+        (F.col("start") + F.length("raw") - F.length(F.ltrim("raw", F.lit(_EDGE)))).alias("start_char"),
         _trimmed(F.col("raw")).alias("text"),
     ).withColumn("key", F.lower("text"))
     found = surface.join(F.broadcast(names) if few else names, "key").select(

@@ -16,8 +16,13 @@ from tidewatch import fixed_values as V
 from tidewatch.functions import text as T
 from tidewatch.functions.numeric import round_exact
 
-KEYWORD_SCHEMA = "keyword string, keyword_type string, frequency bigint, tfidf_score double"
-_MAX_LISTED_WORDS = 5000  # beyond this the frequent words are joined instead of listed
+_MAX_LISTED_WORDS = 2000  # beyond this the frequent words are joined instead of listed
+
+
+def _exploded(array: Column, name: str, rows: DataFrame) -> DataFrame:
+    """One row per element. The outer form keeps Spark from testing the array's size in a filter of
+    its own, which would compute the tokens twice."""
+    return rows.select(F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
 def _count(terms: DataFrame) -> DataFrame:
@@ -33,26 +38,26 @@ def top_terms(tokens: DataFrame, max_features: int) -> list[str]:
 
     Returns at most `max_features` strings.
     """
-    words = _count(tokens.select(F.explode("tokens").alias("term")))
-    leaders = _top(words, max_features).collect()
+    words = _count(_exploded(F.col("tokens"), "term", tokens))
+    ranked = _top(words, max(_MAX_LISTED_WORDS, max_features) + 1).collect()
+    leaders = ranked[:max_features]
     floor = leaders[-1]["total"] if len(leaders) == max_features else 0
     # A pair that reaches the last place consists of words that do.
-    frequent = words.where(F.col("total") >= floor).select("term")
-    listed = [r["term"] for r in frequent.limit(_MAX_LISTED_WORDS + 1).collect()]
+    frequent = [r["term"] for r in ranked if r["total"] >= floor]
     following = F.slice("tokens", 2, F.greatest(F.size("tokens"), F.lit(1)))
-    pairs = tokens.where(F.size("tokens") > 1).select(
-        F.explode(F.arrays_zip(F.col("tokens").alias("a"), following.alias("b"))).alias("p")
-    ).select("p.a", "p.b").where(F.col("b").isNotNull())
-    if len(listed) <= _MAX_LISTED_WORDS:
-        pairs = pairs.where(F.col("a").isin(listed) & F.col("b").isin(listed))
-    else:
+    zipped = F.arrays_zip(F.col("tokens").alias("a"), following.alias("b"))
+    pairs = _exploded(zipped, "p", tokens).select("p.a", "p.b").where(F.col("b").isNotNull())
+    if len(frequent) < len(ranked) or len(ranked) <= _MAX_LISTED_WORDS:
+        pairs = pairs.where(F.col("a").isin(frequent) & F.col("b").isin(frequent))
+    else:  # too many words share the last place to list them
+        known = words.where(F.col("total") >= floor).select("term")
         for side in ("a", "b"):
-            pairs = pairs.join(frequent.withColumnRenamed("term", side), side, "left_semi")
+            pairs = pairs.join(known.withColumnRenamed("term", side), side, "left_semi")
     pair_leaders = _top(
         _count(pairs.select(F.concat_ws(" ", "a", "b").alias("term"))), max_features
     ).collect()
-    ranked = sorted([*leaders, *pair_leaders], key=lambda r: (-r["total"], r["term"]))
-    return [r["term"] for r in ranked[:max_features]]
+    best = sorted([*leaders, *pair_leaders], key=lambda r: (-r["total"], r["term"]))
+    return [r["term"] for r in best[:max_features]]
 
 
 def _listed(words: Column, terms: list[str]) -> Column:
@@ -82,10 +87,7 @@ def extract_keywords(
     Columns: keyword, keyword_type (`ngram` for a pair), frequency among the blank-separated words
     (1 when it never occurs so), tfidf_score. Without any term, frequent long words are listed.
     """
-    spark = texts.sparkSession
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
-    if texts.where(T.strip(F.col("text")) != "").isEmpty():
-        return spark.createDataFrame([], KEYWORD_SCHEMA)
     tokens = texts.select(T.keyword_tokens(F.col("text"), stop_words).alias("tokens"))
     terms = top_terms(tokens, max_features)
     if not terms:
@@ -98,15 +100,12 @@ def extract_keywords(
     hits = prepared.select(
         _listed(F.col("tokens"), terms).alias("hits"), _listed(F.col("raw"), terms).alias("raw_hits")
     )
-    # Documents per term: at most `max_features` rows.
+    # Documents per term, and under the empty term all documents: at most `max_features` + 1 rows.
+    present = F.concat(F.array(F.lit("")), F.array_distinct("hits"))
     in_documents = {
-        r["term"]: r["documents"]
-        for r in hits.select(F.explode(F.array_distinct("hits")).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("documents"))
-        .collect()
+        r["term"]: r["total"] for r in _count(hits.select(F.explode_outer(present).alias("term"))).collect()
     }
-    n = texts.count()
+    n = in_documents[""]
     idf = {t: math.log((1 + n) / (1 + in_documents.get(t, 0))) + 1.0 for t in terms}
     idf_of = F.create_map(*[x for t in terms for x in (F.lit(t), F.lit(idf[t]))])
 
@@ -127,7 +126,7 @@ def extract_keywords(
         F.aggregate("weights", F.lit(0.0), lambda s, w: s + w["weight"] * w["weight"])
     )
     entries = weighted.withColumn("norm", norm).select(
-        F.explode(
+        F.explode_outer(
             F.concat(
                 F.transform(
                     "weights",
@@ -147,7 +146,8 @@ def extract_keywords(
         ).alias("e")
     )
     scores = (
-        entries.groupBy(F.col("e.term").alias("keyword"))
+        entries.where("e IS NOT NULL")
+        .groupBy(F.col("e.term").alias("keyword"))
         .agg(F.sum("e.weight").alias("weight"), F.sum("e.raw").alias("raw"))
         .withColumn("mean", F.col("weight") / F.lit(float(n)))
     )
@@ -162,7 +162,7 @@ def extract_keywords(
 
 def frequent_words(texts: DataFrame, top_n: int) -> DataFrame:
     """Words longer than three characters by frequency, all with the score 0.1."""
-    words = texts.select(F.explode(T.split_space(F.col("text"))).alias("term"))
+    words = _exploded(T.split_space(F.col("text")), "term", texts)
     return (
         _top(_count(words.where(F.length("term") > 3)), top_n)
         .select(
