@@ -15,6 +15,7 @@ from tidewatch.operators.ranking import page
 from tidewatch.plans import enrichment, search
 from tidewatch.plans import topics as topic_plans
 from tidewatch.plans import trends as trend_plans
+from tidewatch.session import checkpointed
 
 _BASE = f"WITH {T.EVENT_POSTS}, {T.EVENT_SENTIMENT}, {T.EVENT_LINKS}, {T.EVENT_TOPICS}"
 
@@ -104,7 +105,8 @@ terms AS (SELECT keyword, keyword_type, frequency, tfidf_score FROM keywords UNI
 def _terms(spark, sf_dir):
     posts = T.doc_posts(spark, sf_dir)
     texts = posts.select(X.cleaned(X.decode_entities(F.col("original_text"))).alias("text"))
-    return keywords.keyword_table(keywords.extract_keywords(texts), keywords.hashtag_counts(posts))
+    found = keywords.extract_keywords(checkpointed(texts))
+    return keywords.keyword_table(found, keywords.hashtag_counts(posts))
 
 
 @query("u1_keyword_table", f"{_TERMS} SELECT * FROM terms")
@@ -261,13 +263,14 @@ def representatives(spark, sf_dir):
 
 @query(
     "w16_distinct_names",
-    """WITH words AS (SELECT doc_id, lang, source FROM documents)
-    SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY lang || source) > 1 THEN lang || source || ' · ' || upper(lang[1]) || lang[2:] ELSE lang || source END
-      AS display_name FROM words""",
+    f"""{_BASE}, named AS (SELECT topic_id, CASE WHEN topic_id IN ('view', 'click') THEN 'Web' ELSE 'Shop ' || is_outlier END AS name FROM event_topics)
+    SELECT topic_id, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || ' · ' || upper(topic_id[1]) || topic_id[2:] ELSE name END
+      AS display_name FROM named""",
 )
 def names(spark, sf_dir):
-    found = T.table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "concat(lang, source) AS display_name",
-        "array(named_struct('word', lang, 'score', 1D)) AS keywords",
-    )
-    return topics.distinct_names(found).select("doc_id", "display_name")
+    """Topics that share a name get their first keyword appended."""
+    shared = F.expr(
+        "CASE WHEN topic_id IN ('view', 'click') THEN 'Web' ELSE concat('Shop ', is_outlier) END"
+    )
+    found = T.event_topics(spark, sf_dir).withColumn("display_name", shared)
+    return topics.distinct_names(found).select("topic_id", "display_name")

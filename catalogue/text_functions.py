@@ -11,6 +11,7 @@ from tidewatch.functions import text as X
 from tidewatch.operators import entities, keywords
 from tidewatch.operators.duplicates import flag_canonical_duplicates
 from tidewatch.plans.preprocess import preprocess, preprocessing_summary
+from tidewatch.session import checkpointed
 
 
 def _joined(column):
@@ -223,7 +224,7 @@ def corpus_keywords(spark, sf_dir):
 def cleaned_keywords(spark, sf_dir):
     clean = X.cleaned(X.decode_entities(F.col("original_text")))
     texts = T.doc_posts(spark, sf_dir).select(clean.alias("text"))
-    return keywords.extract_keywords(texts, 15, 40)
+    return keywords.extract_keywords(checkpointed(texts), 15, 40)
 
 
 @query(

@@ -28,10 +28,27 @@ _URL_BODY = "|".join(
         f"{V.URL_CHAR}+{V.URL_LAST_CHAR}",
     ]
 )
-# A bare host is a whole run of host characters that ends in a dot and two to four letters, so the
-# run is read possessively and its tail checked by looking back.
-_HOST = r"(?![.]?[a-z]{1,4}/)[a-z0-9.\-]++(?<=[a-z0-9.\-][.][a-z]{2,4})/"
-URL = rf"(?iU)\b(?:https?://|www\d{{0,3}}[.]|{_HOST})(?:{_URL_BODY})"
+# A bare host is a whole run of host characters that ends in a dot and two to four letters and is
+# followed by a slash, so the run is read possessively and its tail checked by looking back. The
+# letters include the four others that fold to ASCII ones.
+_LETTERS = "a-zA-Z\u0130\u0131\u017f\u212a"
+_HOST = (
+    rf"(?![.]?[{_LETTERS}]{{1,4}}/)[{_LETTERS}0-9.\-]++/"
+    rf"(?<=[{_LETTERS}0-9.\-][.][{_LETTERS}]{{2,4}}/)"
+)
+URL = (
+    rf"(?:(?<!{V.WORD})(?:(?i:https?)://|(?i:www)\p{{Nd}}{{0,3}}[.]|(?=[{_LETTERS}0-9]){_HOST})"
+    rf"|(?<={V.WORD})(?=[.\-]){_HOST})(?:{_URL_BODY})"
+)
+
+
+def _may_have_url(text: Column) -> Column:
+    """Cheap test that spares texts without a slash or `www` the pattern."""
+    return F.contains(text, F.lit("/")) | F.contains(F.lower(text), F.lit("www"))
+
+
+def _replace_urls(text: Column, by: str) -> Column:
+    return F.when(_may_have_url(text), F.regexp_replace(text, URL, by)).otherwise(text)
 
 
 def _find_all(text: Column, pattern: str, group: int) -> Column:
@@ -55,7 +72,9 @@ def collapse_punctuation(text: Column) -> Column:
 
 def extract_urls(text: Column) -> Column:
     """URLs in order of first appearance, without repeats."""
-    return F.array_distinct(_find_all(text, URL, 0))
+    none = F.array().cast("array<string>")
+    found = F.array_distinct(_find_all(text, URL, 0))
+    return F.when(_may_have_url(text), found).when(text.isNotNull(), none)
 
 
 def _first_casing(found: Column) -> Column:
@@ -127,13 +146,13 @@ def text_hash(text: Column) -> Column:
 def sentiment_ready(decoded: Column) -> Column:
     """Case kept; mentions become `@user`, URLs `http`."""
     text = F.regexp_replace(decoded, MENTION, "@user")
-    text = F.regexp_replace(text, URL, "http")
+    text = _replace_urls(text, "http")
     return collapse_space(collapse_punctuation(text))
 
 
 def cleaned(decoded: Column) -> Column:
     """Lower-cased text without URLs, mentions and `#`."""
-    text = F.regexp_replace(decoded, URL, " ")
+    text = _replace_urls(decoded, " ")
     text = F.regexp_replace(text, MENTION, " ")
     text = F.regexp_replace(text, HASHTAG, "$1")
     return F.lower(collapse_space(collapse_punctuation(text)))
@@ -141,7 +160,7 @@ def cleaned(decoded: Column) -> Column:
 
 def ner_text(decoded: Column) -> Column:
     """Case and mentions kept; URLs dropped, `#` stripped."""
-    text = F.regexp_replace(decoded, URL, " ")
+    text = _replace_urls(decoded, " ")
     text = F.regexp_replace(text, HASHTAG, "$1")
     return collapse_space(collapse_punctuation(text))
 

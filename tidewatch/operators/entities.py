@@ -19,7 +19,7 @@ MAX_WORDS = 5
 BROADCAST_ROWS = 200_000
 MENTION_SCHEMA = "text string, label string, start_char int, end_char int"
 _EDGE = " \t\n.,;:!?"
-_BLOCK = 64  # words
+_BLOCK = 16  # words
 
 
 def tagged_text(posts: DataFrame) -> DataFrame:
@@ -28,46 +28,33 @@ def tagged_text(posts: DataFrame) -> DataFrame:
     return posts.select("post_id", text.alias("text"))
 
 
-def _blocks(text: Column) -> Column:
-    """Single-spaced text cut into blocks of words, each with the offset of its first character.
+def _word_blocks(texts: DataFrame) -> DataFrame:
+    """Single-spaced texts cut into blocks of words, each with the offset of its first character.
 
-    A block carries the next words too, so that a phrase may run over its end. Folding over blocks
-    keeps the work linear in the text.
+    A block carries the next words too, so that a phrase may run over its end. Each step reads a
+    finished column: an expression inside a lambda would be computed for every element.
     """
-    words = F.split(text, " ")
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 1, F.lit(_BLOCK)),
-        lambda start: F.slice(words, start + 1, F.lit(_BLOCK + MAX_WORDS - 1)),
-    )
-    lengths = F.transform(
-        blocks,
-        lambda b: F.aggregate(F.slice(b, 1, _BLOCK), F.lit(0), lambda n, w: n + F.length(w) + 1),
-    )
+    own = F.transform("blocks", lambda b: F.length(F.array_join(F.slice(b, 1, _BLOCK), " ")) + 1)
     offsets = F.aggregate(
-        lengths,
+        "lengths",
         F.array(F.lit(0)),
         lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)),
     )
-    return F.zip_with(
-        blocks, F.slice(offsets, F.lit(1), F.size(blocks)),
-        lambda b, offset: F.struct(b.alias("words"), offset.alias("offset")),
-    )
-
-
-def _with_offsets(words: Column, offset: Column) -> Column:
-    """Words of a block with the offset of their first character."""
-    entry = "array<struct<word:string,start:int>>"
-    return F.aggregate(
-        words,
-        F.struct(offset.alias("next"), F.array().cast(entry).alias("words")),
-        lambda state, word: F.struct(
-            (state["next"] + F.length(word) + 1).alias("next"),
-            F.concat(
-                state["words"],
-                F.array(F.struct(word.alias("word"), state["next"].alias("start"))),
-            ).alias("words"),
-        ),
-        lambda state: state["words"],
+    # The outer explode keeps Spark from computing the blocks again to test their number.
+    return (
+        texts.select("post_id", F.split("text", " ").alias("words"))
+        .select(
+            "post_id",
+            F.transform(
+                F.sequence(F.lit(0), F.size("words") - 1, F.lit(_BLOCK)),
+                lambda start: F.slice("words", start + 1, F.lit(_BLOCK + MAX_WORDS - 1)),
+            ).alias("blocks"),
+        )
+        .withColumn("lengths", own)
+        .withColumn("offsets", offsets)
+        .select("post_id", F.explode_outer(F.arrays_zip("blocks", "offsets")).alias("b"))
+        .select("post_id", F.col("b.blocks").alias("words"), F.col("b.offsets").alias("offset"))
+        .where("words IS NOT NULL")
     )
 
 
@@ -83,30 +70,24 @@ def gazetteer_candidates(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     first_words = names.select(
         F.lower(_trimmed(F.substring_index("key", " ", 1))).alias("first")
     ).distinct()
-    blocks = (
-        texts.select("post_id", F.explode_outer(_blocks(F.col("text"))).alias("b"))
-        .where("b IS NOT NULL")
-        .select("post_id", _with_offsets(F.col("b.words"), F.col("b.offset")).alias("w"))
-    )
-    # Each word with the four behind it; neither text nor word array travels along.
-    own = F.sequence(F.lit(1), F.least(F.size("w"), F.lit(_BLOCK)))
-    runs = (
-        blocks.select(
-            "post_id",
-            F.explode_outer(F.transform(own, lambda i: F.slice("w", i, F.lit(MAX_WORDS)))).alias("run"),
-        )
-        .where("run IS NOT NULL")
-        .withColumn("first", F.lower(_trimmed(F.col("run")[0]["word"])))
+    words = _word_blocks(texts).select(
+        "post_id", "words", "offset", F.posexplode_outer(F.slice("words", 1, _BLOCK)).alias("i", "word")
     )
+    starts = words.withColumn("first", F.lower(_trimmed(F.col("word"))))
     few = small_enough(names, BROADCAST_ROWS)
-    runs = runs.join(F.broadcast(first_words) if few else first_words, "first", "left_semi")
-    phrases = runs.select(
+    starts = starts.join(F.broadcast(first_words) if few else first_words, "first", "left_semi")
+    before = F.array_join(F.slice("words", F.lit(1), F.col("i")), " ")
+    phrases = starts.select(
+        "post_id",
+        (F.col("offset") + F.length(before) + F.least(F.col("i"), F.lit(1))).alias("start"),
+        F.slice("words", F.col("i") + 1, F.lit(MAX_WORDS)).alias("run"),
+    ).select(
         "post_id",
-        F.col("run")[0]["start"].alias("start"),
+        "start",
         F.explode(
             F.transform(
                 F.sequence(F.lit(1), F.size("run")),
-                lambda n: F.array_join(F.transform(F.slice("run", 1, n), lambda r: r["word"]), " "),
+                lambda n: F.array_join(F.slice("run", F.lit(1), n), " "),
             )
         ).alias("raw"),
     )
