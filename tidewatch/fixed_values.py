@@ -42,6 +42,7 @@ MAX_INT = 2147483647
 # White space and word characters spelled out, so that every engine agrees on them.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SPACE_IN_CLASS = SPACE[1:-1]
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())  # the same, as a list
 WORD_IN_CLASS = r"\p{L}\p{N}_"
 WORD = f"[{WORD_IN_CLASS}]"
 NOT_WORD = f"[^{WORD_IN_CLASS}]"

@@ -57,7 +57,7 @@ def _find_all(text: Column, pattern: str, group: int) -> Column:
 
 def strip(text: Column) -> Column:
     """Drop white space of any kind at both ends (Spark's `trim` only knows the blank)."""
-    return F.regexp_replace(text, rf"\A{V.SPACE}+|{V.SPACE}+\z", "")
+    return F.btrim(text, F.lit(V.SPACES))
 
 
 def collapse_space(text: Column) -> Column:

@@ -61,14 +61,8 @@ def parse_standard(raw: Column) -> Column:
     )
 
 
-def parse_timestamp(raw: Column, free_form: bool = True) -> Column:
-    """Timestamp of a text in any accepted form, else null.
-
-    With `free_form`, text that no listed format fits goes to pandas; other rows send it a null.
-    """
-    standard = parse_standard(raw)
-    if not free_form:
-        return standard
+def parse_free_form(raw: Column) -> Column:
+    """Whatever pandas reads as a time, naive meaning UTC; hand it the rest of `parse_standard`."""
 
     def parse(texts: pd.Series) -> pd.Series:
         distinct = pd.Series(texts.dropna().str.strip().unique(), dtype="object")
@@ -77,8 +71,16 @@ def parse_timestamp(raw: Column, free_form: bool = True) -> Column:
         found = texts.str.strip().map(dict(zip(distinct, times)))
         return pd.to_datetime(found, utc=True).astype("datetime64[us, UTC]")
 
-    free = F.pandas_udf(parse, TimestampType())
-    return F.coalesce(standard, free(F.when(standard.isNull(), raw)))
+    return F.pandas_udf(parse, TimestampType())(raw)
+
+
+def parse_timestamp(raw: Column) -> Column:
+    """Timestamp of a text in any accepted form, else null.
+
+    Text that no listed format fits goes to pandas; other rows send it a null.
+    """
+    standard = parse_standard(raw)
+    return F.coalesce(standard, parse_free_form(F.when(standard.isNull(), raw)))
 
 
 @dataclass(frozen=True)

@@ -51,7 +51,7 @@ def import_dataset(
     summary = checked.summary().first().asDict()
     if not summary["valid_rows"]:
         raise ValueError("No valid rows to import. Correct the mapping or the file.")
-    posts = checkpointed(normalize_rows(checked.rows.where("is_valid"), dataset_id))
+    posts = normalize_rows(checked.rows.where("is_valid"), dataset_id)
     if posts.count() != summary["valid_rows"]:
         raise ValueError("Normalisation disagrees with validation; no rows were imported.")
     store.import_posts(posts, dataset_id)
