@@ -52,8 +52,8 @@ def _register_rankings():
 
 def _register_histories():
     cases = [
-        ("q4_trend_snapshots_daily", "daily", None, None),
-        ("q4_trend_snapshots_weekly", "weekly", None, None),
+        ("f23_q4_trend_snapshots_daily", "daily", None, None),
+        ("f23_q4_trend_snapshots_weekly", "weekly", None, None),
         ("q5_trend_history_hourly_platform", "hourly", "instagram", None),
         ("q5_trend_history_one_topic", "daily", None, "purchase"),
     ]
@@ -109,7 +109,7 @@ def latest(spark, sf_dir):
 
 
 @query(
-    "w4_w9_trajectory_hourly",
+    "w4_w5_w6_w7_w8_w9_w10_trajectory_hourly",
     f"""WITH {_RUN_POSTS}, {trend_ctes("run_posts", "hourly", clock_source="event_posts")}
     SELECT topic_id, window_start, volume, volume_previous, {rounded("engagement_previous", 6)} AS engagement_previous,
       {rounded("volume_growth", 6)} AS volume_growth, {rounded("engagement_growth", 6)} AS engagement_growth,
@@ -198,7 +198,7 @@ def _register_timelines():
     for window, platform, topic in cases:
         where = f"platform = {quoted(platform)}" if platform else "true"
         where += f" AND topic_id = {quoted(topic)}" if topic else ""
-        name = "_".join(["q7_timeline", window, *([platform] if platform else []), *([topic] if topic else [])])
+        name = "_".join(["g10_q7_timeline", window, *([platform] if platform else []), *([topic] if topic else [])])
 
         @query(name, f"WITH {T.EVENT_POSTS}, {timeline_ctes('event_posts', window, where)} SELECT * FROM timeline")
         def timeline(spark, sf_dir, window=window, platform=platform, topic=topic):
@@ -212,7 +212,7 @@ _register_timelines()
 
 
 @query(
-    "q12_trend_listing_counts",
+    "g22_q12_trend_listing_counts",
     _snapshots_sql(
         "daily", latest=True,
         columns=", ".join(f"count(*) FILTER (classification = '{c}') AS {c}_count"
@@ -255,7 +255,7 @@ def top_trends(spark, sf_dir):
 
 
 @query(
-    "f16_f20_score_parts",
+    "f16_f17_f20_score_parts",
     f"""SELECT event_id, {rounded("1.0 / (1.0 + exp(-(value - 250.0) / 50.0))", 9)} AS logistic,
       {rounded('''exp(-0.05 * greatest(0.0, (SELECT max(epoch_us(ts)) FROM events) - epoch_us(ts)) / 3.6e9)''', 9)} AS recency,
       CASE WHEN value < 3 THEN 'stable' WHEN value / 500 >= 0.7 AND user_id % 2 = 0 THEN 'emerging'

@@ -14,8 +14,8 @@ from tools.check_queries import canonical
 
 SF = "/root/testdata/sf0.001"
 CROSS_SECTION = [
-    "q5_ranked_trends_daily", "q5_ranked_trends_hourly_reddit", "q4_stored_snapshots_daily", "q7_timeline_hourly_signup",
-    "w4_w9_trajectory_hourly", "w17_position_in_time", "g19_hashtag_growth", "p6_f7_u3_normalized_posts", "p5_row_issues",
+    "q5_ranked_trends_daily", "q5_ranked_trends_hourly_reddit", "q4_stored_snapshots_daily", "g10_q7_timeline_hourly_signup",
+    "w4_w5_w6_w7_w8_w9_w10_trajectory_hourly", "w17_position_in_time", "g19_hashtag_growth", "p6_f7_u3_normalized_posts", "p5_row_issues",
     "f1_parse_timestamps", "f3_extract_urls", "q2_preprocessed_posts", "m1_m2_keywords", "m9_topic_terms", "m6_assignment_strength",
     "g25_evaluation_summary", "q8_o5_search_page", "q6_dashboard", "q10_topic_dossier", "s1_s3_csv_scan", "w15_representative_posts",
 ]
@@ -49,7 +49,7 @@ def test_entry(spark, duck):
 
 
 @pytest.mark.parametrize(
-    "name", ["q5_ranked_trends_daily", "q7_timeline_daily", "j3_search_join", "w14_canonical_duplicates", "q9_g24_topic_list_totals"]
+    "name", ["q5_ranked_trends_daily", "g10_q7_timeline_daily", "j3_search_join", "w14_canonical_duplicates", "q9_g24_topic_list_totals"]
 )
 def test_plans_have_no_cross_join(spark, duck, name):
     plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
