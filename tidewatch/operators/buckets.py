@@ -82,9 +82,9 @@ def fill_gaps(metrics: DataFrame, window: str, clock: Column, keys: tuple[str, .
         {
             "next_start": F.expr(f"lead(window_start) {over}"),
             "first_start": F.expr(f"min(window_start) {over}"),
-            "clock_start": kind.start(clock),
+            "clock": clock,
         }
-    )
+    ).withColumn("clock_start", kind.start(F.col("clock")))
     steps = (F.unix_seconds("clock_start") - F.unix_seconds("first_start")) / kind.seconds
     too_many = F.raise_error(
         F.lit("The data spans too many time buckets. Use a narrower date range or a wider bucket.")
@@ -92,7 +92,9 @@ def fill_gaps(metrics: DataFrame, window: str, clock: Column, keys: tuple[str, .
     stop = F.least("next_start", F.col("clock_start") + kind.step()) - kind.step()
     run = F.sequence("window_start", F.greatest("window_start", stop), kind.step())
     guarded = F.when(steps > V.MAX_BUCKETS, too_many.cast("array<timestamp>")).otherwise(run)
-    filled = ranked.select(*keys, *SUMS, "has_engagement", "latest_time", F.posexplode(guarded))
+    filled = ranked.select(
+        *keys, *SUMS, "has_engagement", "latest_time", "clock", F.posexplode(guarded)
+    )
     occupied = F.col("pos") == 0
     return filled.select(
         *keys,
@@ -100,6 +102,7 @@ def fill_gaps(metrics: DataFrame, window: str, clock: Column, keys: tuple[str, .
         *[F.when(occupied, F.col(c)).otherwise(F.lit(0)).alias(c) for c in SUMS],
         "has_engagement",
         F.when(occupied, F.col("latest_time")).alias("latest_time"),
+        "clock",
     )
 
 

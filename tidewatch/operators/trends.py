@@ -94,7 +94,7 @@ def trajectory(
             .otherwise(F.col("volume_growth") - F.col("growth_before"))
             .alias("velocity"),
             "burst", "age", "measured", "latest_post", "positive", neutral.alias("neutral"),
-            "negative", "is_latest", "activity", clock.alias("clock"),
+            "negative", "is_latest", "activity", "clock",
         )
     )
 
