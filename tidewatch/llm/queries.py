@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, token_counts, token_files
+from tidewatch.llm import bpe, quality, token_counts, token_files, toxicity
 from tidewatch.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Python workers look for this package where the driver found it, unless told otherwise."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    return spark
+
+
 def query(name: str, sql: str | None = None):
     def add(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = build
+        @wraps(build)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(importable(spark), sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
-        return build
+        return run
 
     return add
 
@@ -33,6 +46,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query("op1_quality_scores")
+def op1(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, labels(spark, sf_dir)))
+
+
+@query("op2_toxicity_scores")
+def op2(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
 @query("op4_token_counts")
 def op4(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
