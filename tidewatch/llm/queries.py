@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, quality, token_counts, token_files, toxicity
+from tidewatch.llm import bpe, decontaminate, line_rules, quality, token_counts, token_files, toxicity
 from tidewatch.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,15 @@ def op2(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+@query("op3_contaminated_documents", decontaminate.SQL)
+def op3(spark, sf_dir):
+    return decontaminate.find_contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 @query("op4_token_counts")
 def op4(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
@@ -75,6 +84,11 @@ def op7(spark, sf_dir):
     return token_files.read_token_files(spark, folder, bases, token_files.id_kind(path, end_id))
 
 
+@query("op9_line_rules", line_rules.SQL)
+def op9(spark, sf_dir):
+    return line_rules.apply_rules(documents(spark, sf_dir))
+
+
 @query("op10_bpe_round_trip")
 def op10(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), with_texts=False)
