@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewatch.llm.blocks import id_and_text
+from tidewatch.llm.hashing import mixed, word_hashes
 from tidewatch.llm.labelled import held_out, training_rows
 
 FEATURES = 1 << 18
@@ -35,22 +36,7 @@ def _marks() -> np.ndarray:
     return marks
 
 
-def _letters() -> np.ndarray:
-    """A random number for every byte, the same for a letter in either case, 0 for white space."""
-    values = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
-    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-    values[[9, 10, 11, 12, 13, 32]] = 0
-    return values
-
-
-_MARKS, _LETTERS = _marks(), _letters()
-_POWERS = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+_MARKS = _marks()
 
 
 def indicators(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,17 +59,13 @@ def indicators(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         same = of[: len(code)] == of[n - 1 :]
         found.append((of[: len(code)][same], code[same] + np.uint64(n << 40)))
 
-    letter = _LETTERS[raw]
-    word = letter != 0
-    begins = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+    begins, names = word_hashes(raw, ignore_case=True)
     if len(begins):
-        place = np.arange(len(raw)) - begins[np.maximum(np.searchsorted(begins, np.arange(len(raw)), "right") - 1, 0)]
-        names = _mixed(np.add.reduceat(letter * _POWERS[place & 63], begins))
         of = doc[begins]
         pair = of[1:] == of[:-1]
         found.append((of, names))
         found.append((of[1:][pair], names[:-1][pair] * np.uint64(3) + names[1:][pair]))
-    keys = [(d.astype(np.uint64) << np.uint64(18)) | (_mixed(c) & np.uint64(FEATURES - 1)) for d, c in found]
+    keys = [(d.astype(np.uint64) << np.uint64(18)) | (mixed(c) & np.uint64(FEATURES - 1)) for d, c in found]
     keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
     return (keys >> np.uint64(18)).astype(np.int64), (keys & np.uint64(FEATURES - 1)).astype(np.int64)
 

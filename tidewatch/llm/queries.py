@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, decontaminate, line_rules, quality, token_counts, token_files, toxicity
+from tidewatch.llm import bpe, decontaminate, line_rules, near_duplicates, quality, token_counts, token_files, toxicity
 from tidewatch.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op4(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query("op5_near_duplicates")
+def op5(spark, sf_dir):
+    return near_duplicates.find_classes(documents(spark, sf_dir))
+
+
 @query("op7_token_files")
 def op7(spark, sf_dir):
     path, end_id = tokenizer_path("word_bpe_49k.json"), 2
