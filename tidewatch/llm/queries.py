@@ -7,8 +7,11 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, decontaminate, line_rules, near_duplicates, quality, token_counts, token_files, toxicity
+from tidewatch.llm import (
+    bpe, decontaminate, line_rules, near_duplicates, quality, run_index, token_counts, token_files, toxicity, word_automaton,
+)
 from tidewatch.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +84,12 @@ def op5(spark, sf_dir):
     return near_duplicates.find_classes(documents(spark, sf_dir))
 
 
+@query("op6_repeated_words")
+def op6(spark, sf_dir):
+    found = word_automaton.remove_repeated_words(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op7_token_files")
 def op7(spark, sf_dir):
     path, end_id = tokenizer_path("word_bpe_49k.json"), 2
@@ -89,6 +98,14 @@ def op7(spark, sf_dir):
     return token_files.read_token_files(spark, folder, bases, token_files.id_kind(path, end_id))
 
 
+@query("op8_earlier_bytes")
+def op8(spark, sf_dir):
+    found = run_index.remove_earlier_bytes(documents(spark, sf_dir))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    spans = F.size("begins").cast("long")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op9_line_rules", line_rules.SQL)
 def op9(spark, sf_dir):
     return line_rules.apply_rules(documents(spark, sf_dir))
