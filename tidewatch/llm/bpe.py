@@ -101,6 +101,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_texts: bool = Tr
 
     def join(block: pa.Table, units: pa.Table) -> pa.Table:
         rows: dict[str, list] = {k: [] for k in kinds}
+        flat_ids = []
         piece = pieces(tokenizer_path)
         answers = dict(zip(units.column("shard").to_pylist(), units.column("ids").to_pylist()))
         for payload in block.column("payload").to_pylist():
@@ -126,8 +127,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_texts: bool = Tr
                 rows["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
                 rows["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_texts:
-                    rows["ids"].append(np.frombuffer(ids, "<i4").tolist())
+                    flat_ids.append(ids)
                     rows["decoded"].append(decoded)
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in rows.items()})
+        columns = {k: pa.array(v, kinds[k]) for k, v in rows.items() if k != "ids"}
+        if with_texts:
+            ends = np.cumsum([0, *rows["n_tokens"]], dtype=np.int32)
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat_ids), "<i4")))
+        return pa.table({k: columns[k] for k in kinds})
 
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(join, schema)
