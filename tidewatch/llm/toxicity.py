@@ -91,7 +91,8 @@ class _Trainer:
         self.seen[k] += slope * slope
         value -= rate * slope / np.sqrt(self.seen[k])
 
-    def fit(self, which: np.ndarray, labels: np.ndarray, epochs: int, rate: float = 0.3, batch: int = 1536) -> None:
+    def fit(self, which: np.ndarray, labels: np.ndarray, epochs: int, rate: float = 0.3) -> None:
+        batch = min(max(len(which) // 60, 64), 1536)
         share = np.bincount(labels[which], minlength=2) / len(which)
         cost = np.sqrt(0.5 / share)  # the rarer class counts more
         for _ in range(epochs):
