@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.session import parallel_scan
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return parallel_scan(spark, f"{sf_dir}/{name}.parquet")
+    """A table of texts, which comes as one row group, spread over tasks by its first column."""
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(F.col(rows.columns[0]))
 
 
 # --- events as posts ---

@@ -416,3 +416,68 @@ def test_no_data_view(spark):
     parts = dashboard.no_data(spark)
     assert parts["totals"].first()["status"] == "no_data"
     assert tuple(parts["classifications"].first()) == (0, 0, 0, 0) and parts["sentiment"].count() == 3
+
+
+# --- runs over meagre data ---
+def _dataset(spark, store, name, texts):
+    rows = [(k + 1, t, START + timedelta(hours=k), "reddit", k) for k, t in enumerate(texts)]
+    posts = spark.createDataFrame(rows, "post_id int, original_text string, timestamp timestamp, platform string, likes int").withColumns(
+        {"dataset_id": F.lit(name), "comments": F.lit(None).cast("int"), "shares": F.lit(None).cast("int"), "hashtags": F.lit(None).cast("array<string>")}
+    )
+    store.import_posts(posts, name)
+    store.register_dataset(name, name, "imported", {})
+
+
+def _even():
+    def load():
+        return lambda batch: pd.DataFrame({"positive": 0.2, "neutral": 0.5, "negative": 0.3}, index=range(len(batch)))
+
+    return load
+
+
+MEAGRE = {
+    "no_names": [f"solar panel energy grid number{k % 3}" for k in range(24)],
+    "random_words": [" ".join(random.Random(k).choice("abcdefghij") * 4 + str(k) for _ in range(6)) for k in range(40)],
+    "digits": ["1 2 3", "4 5", "6"],
+    "three_posts": ["first thing here", "second matter there", "third affair elsewhere"],
+}
+
+
+@pytest.mark.parametrize("name", MEAGRE)
+def test_runs_survive_empty_stages(spark, tmp_path, name):
+    store = Store(spark, str(tmp_path))
+    _dataset(spark, store, name, MEAGRE[name])
+    gazetteer = spark.createDataFrame(GAZETTEER, "phrase string, label string")
+    run = analysis.run_analysis(store, name, analysis.Models(scorer=_even(), gazetteer=gazetteer))
+    t = analysis.load_run(store, run, name)
+    assert t["posts"].count() == t["sentiment"].count() == t["post_topics"].count() == len(MEAGRE[name])
+    assert t["post_entities"].count() == t["entities"].count() == 0
+    assert t["topics"].agg(F.sum("post_count")).first()[0] == len(MEAGRE[name])
+    for table in ("keywords", "trend_snapshots", "hourly_rollup"):
+        assert t[table].count() >= 0
+    assert store.dataset(name)["status"] == "preprocessed"
+    dashboard.dashboard(t, t["hourly_rollup"])["totals"].collect()
+
+
+def test_failed_runs_are_recorded(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    _dataset(spark, store, "d", MEAGRE["digits"])
+
+    def broken():
+        raise OSError("no such model")
+
+    with pytest.raises(Exception, match="no such model"):
+        analysis.run_analysis(store, "d", analysis.Models(scorer=broken), "r1")
+    failed = store.run("r1", completed=False)
+    assert failed["status"] == "failed" and "no such model" in failed["error"] and failed["created_at"] < failed["completed_at"]
+    with pytest.raises(RuntimeError):
+        analysis.load_run(store, "r1")
+    with pytest.raises(ValueError):
+        analysis.load_run(store, None)
+    with pytest.raises(LookupError):
+        analysis.run_analysis(store, "unknown", analysis.Models(scorer=_even()))
+    store.set_status("d", "failed")
+    with pytest.raises(RuntimeError):
+        analysis.run_analysis(store, "d", analysis.Models(scorer=_even()))
+    store.delete_dataset("d")
+    assert store.datasets().count() == 0

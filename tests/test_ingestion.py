@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.timestamps import parse_standard, parse_timestamp
 from tidewatch.operators import columns, normalize, validation
 from tidewatch.plans import ingest
+from tidewatch.session import shared_dir
 from tidewatch.sources.csv_scan import preview, scan_csv
 from tidewatch.sources.store import Store, posts_preview
 
@@ -190,3 +191,24 @@ def test_hot_duplicates_against_brute_force(spark):
         expected[i] = t in seen
         seen.add(t)
     assert flags == expected
+
+
+def test_an_import_that_breaks_can_be_repeated(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    staged = scan_csv(spark, put(tmp_path, "l.csv", LIFECYCLE))
+    monkeypatch.setattr(Store, "register_dataset", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    with pytest.raises(OSError):
+        ingest.import_dataset(store, staged, MAPPING, "d1", "One")
+    monkeypatch.undo()
+    assert store.datasets().count() == 0
+    assert ingest.import_dataset(store, staged, MAPPING, "d1", "One")["imported"]
+    assert store.posts("d1").count() == 3 and store.dataset("d1")["name"] == "One"
+
+
+def test_scratch_tables_go_with_their_job(spark, tmp_path):
+    place = shared_dir(spark).removeprefix("file:")
+    store = Store(spark, str(tmp_path / "store"))
+    staged = scan_csv(spark, put(tmp_path, "l.csv", LIFECYCLE))
+    before = set(os.listdir(place)) if os.path.isdir(place) else set()
+    ingest.import_dataset(store, staged, MAPPING, "d1", "One")
+    assert set(os.listdir(place)) <= before

@@ -40,7 +40,7 @@ def between_dates(start: date | datetime | None, end: date | datetime | None) ->
     high = None if end is None else instant(end) + (timedelta(days=1) if day_only else timedelta())
     last = high - timedelta(microseconds=1) if day_only else high
     if low is not None and last is not None and low > last:
-        raise ValueError("Start date must not be later than end date.")
+        raise ValueError(f"The range is empty: it starts {low} and ends {high}.")
     condition = F.lit(True)
     if low is not None:
         condition = condition & (F.col("timestamp") >= F.lit(low))
@@ -95,17 +95,17 @@ def resolve_run(
         return None
     run = runs.where(F.col("analysis_run_id") == run_id).limit(1).first()
     if run is None:
-        raise LookupError(f"Analysis run {run_id} not found.")
+        raise LookupError(f"There is no run {run_id}.")
     if dataset_id is not None and run["dataset_id"] != dataset_id:
-        raise ValueError("The selected analysis run does not belong to this dataset.")
+        raise ValueError(f"Run {run_id} is one of dataset {run['dataset_id']}, not of {dataset_id}.")
     if completed and run["status"] != "completed":
-        raise RuntimeError(f"Analysis is {run['status']}; completed results are not available.")
+        raise RuntimeError(f"Run {run_id} is {run['status']}; only completed runs can be read.")
     return run
 
 
 def require_posts(posts: DataFrame, status: str) -> None:
     """A run needs an imported dataset with at least one post."""
     if status not in ("imported", "preprocessed"):
-        raise RuntimeError("Import and validate this dataset before analysis.")
+        raise RuntimeError(f"A dataset that is {status} cannot be analysed; import it first.")
     if posts.isEmpty():
-        raise ValueError("Dataset contains no imported posts.")
+        raise ValueError("The dataset has no posts to analyse.")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from tidewatch.operators import columns, validation
 from tidewatch.operators.normalize import normalize_rows
-from tidewatch.session import checkpointed
+from tidewatch.session import checkpointed, scratch_of_job
 from tidewatch.sources.store import Store
 
 
@@ -44,16 +44,20 @@ def validate(staged: DataFrame, mapping: dict[str, str | None]) -> Checked:
 def import_dataset(
     store: Store, staged: DataFrame, mapping: dict[str, str | None], dataset_id: str, name: str
 ) -> dict:
-    """Validate, normalise and write a dataset; repeated, it changes nothing."""
-    if store.exists(f"{store.path('posts')}/dataset_id={dataset_id}"):
+    """Validate, normalise and write a dataset; repeated, it changes nothing.
+
+    The dataset exists from its row in `datasets` on, which is written last. An import that ends
+    before leaves nothing that is ever read, and the next one replaces it.
+    """
+    if store.dataset(dataset_id) is not None:
         return {"imported": False}
-    checked = validate(staged, mapping)
-    summary = checked.summary().first().asDict()
-    if not summary["valid_rows"]:
-        raise ValueError("No valid rows to import. Correct the mapping or the file.")
-    posts = normalize_rows(checked.rows.where("is_valid"), dataset_id)
-    if posts.count() != summary["valid_rows"]:
-        raise ValueError("Normalisation disagrees with validation; no rows were imported.")
-    store.import_posts(posts, dataset_id)
+    with scratch_of_job(store.spark):
+        checked = validate(staged, mapping)
+        summary = checked.summary().first().asDict()
+        if not summary["valid_rows"]:
+            raise ValueError("Not one row passes the checks under this mapping; nothing was imported.")
+        store.import_posts(normalize_rows(checked.rows.where("is_valid"), dataset_id), dataset_id)
+    if store.posts(dataset_id).count() != summary["valid_rows"]:
+        raise ValueError("Fewer or more posts than valid rows were written; the dataset was not registered.")
     store.register_dataset(dataset_id, name, "imported", {"mapping": mapping, "validation": summary})
     return {"imported": True, **summary}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,7 @@ def local_session(cpus: int | str = 8, name: str = "tidewatch") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TIDEWATCH_DRIVER_MEMORY", "12g"))
+        .config("spark.checkpoint.dir", os.path.join(os.getcwd(), "spark-warehouse", "_scratch"))
         .getOrCreate()
     )
 
@@ -33,27 +36,48 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by `spark.checkpoint.dir`.
+    """The folder every executor can reach: `spark.checkpoint.dir`, or else one in the warehouse,
+    which executors share too."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
-    Only a local session without that setting gets a temporary folder of its own.
+
+class _Made:
+    """Scratch paths of the jobs that are running, and how many those are."""
+
+    lock = threading.Lock()
+    paths: list[str] = []
+    jobs = 0
+
+
+@contextmanager
+def scratch_of_job(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables made inside when the last job that is running ends.
+
+    For jobs whose results are written elsewhere when they end.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    existing = context.getCheckpointDir()
-    if existing:
-        return existing
-    if not context.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors.")
-    folder = tempfile.mkdtemp(prefix="tidewatch-")
-    context.setCheckpointDir(folder)
-    return folder
+    with _Made.lock:
+        _Made.jobs += 1
+    try:
+        yield
+    finally:
+        with _Made.lock:
+            _Made.jobs -= 1
+            done = [] if _Made.jobs else _Made.paths[:]
+            if done:
+                _Made.paths.clear()
+        for path in done:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    with _Made.lock:
+        if _Made.jobs:
+            _Made.paths.append(path)
+    return path
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -71,12 +95,3 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether `df` has at most `max_rows` rows; reads no more than that plus one."""
     return df.limit(max_rows + 1).count() <= max_rows
 
-
-def parallel_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan for text work; a table of fewer splits than cores is spread over them first.
-
-    Large tables have more splits than cores and are read as they are.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
