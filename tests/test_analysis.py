@@ -273,9 +273,27 @@ def test_long_text_offsets_against_brute_force(spark):
 
 def test_tagger_hook(spark):
     posts = spark.createDataFrame([(1, "Visit Rome"), (2, "ab")], "post_id int, original_text string")
-    load = lambda: lambda text: [(text[6:], "GPE", 6, len(text)), (text, "OTHER", 0, 2)] if len(text) > 3 else []
+
+    def load():
+        def tag(texts):
+            assert isinstance(texts, list) and len(texts) <= 64
+            return [[(t[6:], "GPE", 6, len(t)), (t, "OTHER", 0, 2)] if len(t) > 3 else [] for t in texts]
+
+        return tag
+
     rows = E.tag_with(posts, load).collect()
     assert [(r["text"], r["label"], r["start_char"]) for r in rows] == [("Rome", "GPE", 6)]
+    many = spark.range(200).selectExpr("id AS post_id", "concat('Visit Rome', id) AS original_text").coalesce(1)
+    assert E.tag_with(many, load).count() == 200
+
+
+def test_names_of_many_words(spark):
+    text = "The University of California at Los Angeles met the United Nations High Commissioner for Refugees and the World Bank."
+    posts = spark.createDataFrame([(1, text), (2, "w " * 40 + text)], "post_id int, original_text string")
+    names = ["University of California at Los Angeles", "the United Nations High Commissioner for Refugees", "World Bank"]
+    gazetteer = spark.createDataFrame([(n, "ORG") for n in names], "phrase string, label string")
+    rows = E.gazetteer_mentions(posts, gazetteer).collect()
+    assert sorted((r["post_id"], r["text"]) for r in rows) == sorted((i, n) for i in (1, 2) for n in names)
 
 
 # --- filters ---

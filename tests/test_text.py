@@ -65,8 +65,15 @@ def test_patterns_against_python(spark):
 
 
 def test_entities_decode_like_python(spark):
-    for text in ("a &lt;b&gt; &eacute; &#8364; &copy &unknown; &amp;amp;", "no mark", "", None):
-        assert one(spark, text, T.decode_entities(F.col("text")))[0] == (None if text is None else html.unescape(text))
+    texts = ["a &lt;b&gt; &eacute; &#8364; &copy &unknown; &amp;amp;", "no mark", "", None]
+    pick = random.Random(4)
+    parts = ["&", "&amp", ";", "&#", "x", "X", "0", "00", "41", "8364", "128512", "D800", "110000", "99999999999", "fdd0", "129", "1", "13", "lt", "&notit;",
+             "&NotEqualTilde;", "&copy", "&ampere", " ", "\n", "é", "#", "&#x80;", "&#11;", "&#127;", "&#xFFFE;", "&#x1F600", "&nbsp;", "&acE;", "&fjlig;"]
+    texts += ["".join(pick.choice(parts) for _ in range(pick.randint(1, 9))) for _ in range(3000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(2)
+    rows = frame.select("id", T.decode_entities(F.col("text")).alias("d")).collect()
+    for r in rows:
+        assert r["d"] == (None if texts[r["id"]] is None else html.unescape(texts[r["id"]])), texts[r["id"]]
 
 
 def test_keyword_tokens(spark):

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import html
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tidewatch import fixed_values as V
 
@@ -127,14 +125,49 @@ def union_in_order(first: Column, second: Column) -> Column:
     return F.array_distinct(F.concat(F.coalesce(first, empty), F.coalesce(second, empty)))
 
 
+#: What stands for numbers that are no characters: the replacement, and the bytes of Windows-1252.
+_NUMBERED = {0: "\ufffd", 13: "\r"} | {
+    b: bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in range(0x80, 0xA0)
+}
+
+
 def decode_entities(text: Column) -> Column:
-    """Decode HTML entities. Only texts with an `&` travel to Python."""
+    """Decode HTML entities as the HTML 5 rules ask: by number, by name, and the old names that need
+    no semicolon. A text is cut at each `&`, and the reference at the head of each part replaced."""
+    head = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+    named = F.map_from_arrays(F.array(*map(F.lit, html5)), F.array(*map(F.lit, html5.values())))
+    old_names = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+    replaced = F.map_from_arrays(F.array(*[F.lit(n).cast("bigint") for n in _NUMBERED]), F.array(*map(F.lit, _NUMBERED.values())))
+
+    def number(reference: Column) -> Column:
+        digits = F.regexp_extract(reference, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+        hexadecimal = F.when(F.length(digits) <= 8, F.conv(F.concat(F.lit("0"), digits), 16, 10))
+        decimal = F.when(F.length(digits) <= 10, F.concat(F.lit("0"), digits))
+        code = F.coalesce(F.when(reference.rlike("^#[xX]"), hexadecimal).otherwise(decimal).try_cast("bigint"), F.lit(1 << 40))
+        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        unprintable = code.between(1, 8) | code.between(14, 31) | code.between(127, 159) | code.between(0xFDD0, 0xFDEF)
+        unprintable = unprintable | (code == 11) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        return (
+            F.when(F.try_element_at(replaced, code).isNotNull(), F.try_element_at(replaced, code))
+            .when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\ufffd"))
+            .when(unprintable, F.lit(""))
+            .otherwise(character)
+        )
+
+    def name(reference: Column) -> Column:
+        old = F.regexp_extract(reference, "^(" + "|".join(old_names) + ")", 1)
+        prefix = F.concat(F.try_element_at(named, old), F.substring(reference, F.length(old) + 1, F.length(reference)))
+        whole = F.try_element_at(named, reference)
+        return F.coalesce(whole, F.when(old != "", prefix), F.concat(F.lit("&"), reference))
 
-    def unescape(texts: pd.Series) -> pd.Series:
-        return texts.map(html.unescape, na_action="ignore")
+    def part(piece: Column, i: Column) -> Column:
+        reference = F.regexp_extract(piece, head, 1)
+        rest = F.substring(piece, F.length(reference) + 1, F.length(piece))
+        decoded = F.when(reference == "", F.lit("&")).when(F.startswith(reference, F.lit("#")), number(reference)).otherwise(name(reference))
+        return F.when(i == 0, piece).otherwise(F.concat(decoded, rest))
 
-    decode = F.pandas_udf(unescape, StringType())
-    return F.coalesce(decode(F.when(F.contains(text, F.lit("&")), text)), text)
+    pieces = F.transform(F.split(text, "&"), part)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def text_hash(text: Column) -> Column:

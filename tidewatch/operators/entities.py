@@ -1,6 +1,7 @@
 """Entity mentions by gazetteer or by a tagger hook, and entity figures.
 
-A gazetteer has the columns `phrase` and `label`; a phrase has up to five blank-separated words.
+A gazetteer has the columns `phrase` and `label`; a phrase may have any number of blank-separated
+words: the longest one sets how far a match may run.
 """
 
 from __future__ import annotations
@@ -13,10 +14,8 @@ from pyspark.sql import functions as F
 
 from tidewatch import fixed_values as V
 from tidewatch.functions import text as T
-from tidewatch.session import small_enough
 
-MAX_WORDS = 5
-BROADCAST_ROWS = 200_000
+TAGGER_BATCH = 64  # texts a tagger gets at a time
 MENTION_SCHEMA = "text string, label string, start_char int, end_char int"
 _EDGE = " \t\n.,;:!?"
 _BLOCK = 16  # words
@@ -28,11 +27,12 @@ def tagged_text(posts: DataFrame) -> DataFrame:
     return posts.select("post_id", text.alias("text"))
 
 
-def _word_blocks(texts: DataFrame) -> DataFrame:
+def _word_blocks(texts: DataFrame, longest: int) -> DataFrame:
     """Single-spaced texts cut into blocks of words, each with the offset of its first character.
 
-    A block carries the next words too, so that a phrase may run over its end. Each step reads a
-    finished column: an expression inside a lambda would be computed for every element.
+    A block carries the next words too, so that a phrase of `longest` words may run over its end;
+    `hits` goes along. Each step reads a finished column: an expression inside a lambda would be
+    computed for every element.
     """
     own = F.transform("blocks", lambda b: F.length(F.array_join(F.slice(b, 1, _BLOCK), " ")) + 1)
     offsets = F.aggregate(
@@ -42,18 +42,19 @@ def _word_blocks(texts: DataFrame) -> DataFrame:
     )
     # The outer explode keeps Spark from computing the blocks again to test their number.
     return (
-        texts.select("post_id", F.split("text", " ").alias("words"))
+        texts.select("post_id", "hits", F.split("text", " ").alias("words"))
         .select(
             "post_id",
+            "hits",
             F.transform(
                 F.sequence(F.lit(0), F.size("words") - 1, F.lit(_BLOCK)),
-                lambda start: F.slice("words", start + 1, F.lit(_BLOCK + MAX_WORDS - 1)),
+                lambda start: F.slice("words", start + 1, F.lit(_BLOCK + longest - 1)),
             ).alias("blocks"),
         )
         .withColumn("lengths", own)
         .withColumn("offsets", offsets)
-        .select("post_id", F.explode_outer(F.arrays_zip("blocks", "offsets")).alias("b"))
-        .select("post_id", F.col("b.blocks").alias("words"), F.col("b.offsets").alias("offset"))
+        .select("post_id", "hits", F.explode_outer(F.arrays_zip("blocks", "offsets")).alias("b"))
+        .select("post_id", "hits", F.col("b.blocks").alias("words"), F.col("b.offsets").alias("offset"))
         .where("words IS NOT NULL")
     )
 
@@ -63,24 +64,32 @@ def _trimmed(phrase: Column) -> Column:
 
 
 def gazetteer_candidates(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Every word run of up to five words that is a gazetteer phrase, overlaps included."""
+    """Every word run that is a gazetteer phrase, overlaps included.
+
+    Each post first learns which of its distinct words begin a phrase. Only posts that have any are
+    cut into blocks, and runs are formed only where such a word stands.
+    """
     names = gazetteer.select(
         F.lower(T.collapse_space(F.col("phrase"))).alias("key"), "label"
     ).distinct()
+    longest = names.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
     first_words = names.select(
         F.lower(_trimmed(F.substring_index("key", " ", 1))).alias("first")
     ).distinct()
-    words = _word_blocks(texts).select(
-        "post_id", "words", "offset", F.posexplode_outer(F.slice("words", 1, _BLOCK)).alias("i", "word")
+    own = F.array_distinct(F.transform(F.split("text", " "), lambda w: F.lower(_trimmed(w))))
+    own = texts.select("post_id", F.explode_outer(own).alias("first"))
+    hits = own.join(first_words, "first", "left_semi").groupBy("post_id").agg(F.collect_set("first").alias("hits"))
+    blocks = _word_blocks(texts.select("post_id", "text").join(hits, "post_id"), longest)
+    here = F.filter(
+        F.sequence(F.lit(0), F.least(F.size("words"), F.lit(_BLOCK)) - 1),
+        lambda i: F.array_contains("hits", F.lower(_trimmed(F.get("words", i)))),
     )
-    starts = words.withColumn("first", F.lower(_trimmed(F.col("word"))))
-    few = small_enough(names, BROADCAST_ROWS)
-    starts = starts.join(F.broadcast(first_words) if few else first_words, "first", "left_semi")
+    starts = blocks.select("post_id", "words", "offset", F.explode_outer(here).alias("i")).where("i IS NOT NULL")
     before = F.array_join(F.slice("words", F.lit(1), F.col("i")), " ")
     phrases = starts.select(
         "post_id",
         (F.col("offset") + F.length(before) + F.least(F.col("i"), F.lit(1))).alias("start"),
-        F.slice("words", F.col("i") + 1, F.lit(MAX_WORDS)).alias("run"),
+        F.slice("words", F.col("i") + 1, F.lit(longest)).alias("run"),
     ).select(
         "post_id",
         "start",
@@ -96,7 +105,7 @@ def gazetteer_candidates(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
         (F.col("start") + F.length("raw") - F.length(F.ltrim("raw", F.lit(_EDGE)))).alias("start_char"),
         _trimmed(F.col("raw")).alias("text"),
     ).withColumn("key", F.lower("text"))
-    found = surface.join(F.broadcast(names) if few else names, "key").select(
+    found = surface.join(names, "key").select(
         "post_id", "text", "label", "start_char",
         (F.col("start_char") + F.length("text")).alias("end_char"),
     )
@@ -168,17 +177,18 @@ def gazetteer_mentions(posts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def tag_with(posts: DataFrame, load: Callable[[], Callable[[str], list[tuple]]]) -> DataFrame:
-    """Accepted mentions of any tagger that returns (text, label, start, end) per text."""
+def tag_with(posts: DataFrame, load: Callable[[], Callable[[list[str]], list[list[tuple]]]]) -> DataFrame:
+    """Accepted mentions of any tagger that gets up to 64 texts at a time and returns a list of
+    (text, label, start, end) for each."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = load()
         for frame in frames:
-            rows = [
-                (post_id, *mention)
-                for post_id, text in zip(frame["post_id"], frame["text"])
-                for mention in tagger(text)
-            ]
+            rows = []
+            for a in range(0, len(frame), TAGGER_BATCH):
+                part = frame.iloc[a : a + TAGGER_BATCH]
+                for post_id, mentions in zip(part["post_id"], tagger(part["text"].tolist())):
+                    rows += [(post_id, *mention) for mention in mentions]
             names = ["post_id", "text", "label", "start_char", "end_char"]
             yield pd.DataFrame(rows, columns=names)
 
