@@ -119,7 +119,7 @@ def _runs(spark, sf_dir):
 
 @query(
     "s10_dataset_listing",
-    """SELECT source AS dataset_id, count(*) AS posts, CAST(max(n_chars) AS BIGINT) AS newest FROM documents GROUP BY source
+    """SELECT source AS dataset_id, count(*) AS posts, CAST(max(n_chars) AS BIGINT) AS newest, count(*) OVER () AS total FROM documents GROUP BY source
     ORDER BY newest DESC, dataset_id LIMIT 10 OFFSET 5""",
 )
 def dataset_listing(spark, sf_dir):
@@ -127,8 +127,8 @@ def dataset_listing(spark, sf_dir):
     datasets = documents.groupBy(F.col("source").alias("dataset_id")).agg(
         F.count("*").alias("posts"), F.max("n_chars").alias("newest")
     )
-    listed = store.list_datasets(datasets.withColumn("created_at", F.timestamp_seconds("newest")), 10, 5)
-    return listed.select("dataset_id", "posts", "newest")
+    listed, total = store.dataset_listing(datasets.withColumn("created_at", F.timestamp_seconds("newest")), 10, 5)
+    return listed.select("dataset_id", "posts", "newest", F.lit(total).cast("bigint").alias("total"))
 
 
 @query("s11_run_listing", f"WITH {_RUNS_SQL} SELECT analysis_run_id, status, posts FROM runs WHERE dataset_id = 'src3'")
@@ -143,8 +143,13 @@ def run_listing(spark, sf_dir):
 def dataset_delete(spark, sf_dir):
     """Every row of the deleted datasets goes; here those without a long document."""
     rows = T.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("dataset_id"), "n_chars")
+    workspace = store.Store(spark, scratch_path(spark, "delete"))
+    workspace.write("posts", rows, store.DATASET_KEYS)
     deleted = rows.groupBy("dataset_id").agg(F.max("n_chars").alias("longest")).where("longest < 20000")
-    return store.without_datasets(rows, deleted).select("doc_id", "dataset_id")
+    for row in deleted.collect():  # one row a dataset
+        workspace.delete_dataset(row["dataset_id"])
+    kept = spark.read.schema("doc_id long, n_chars long, dataset_id string").parquet(workspace.path("posts"))
+    return kept.select("doc_id", "dataset_id")
 
 
 @query("s13_canonical_reuse", "SELECT lang, true AS reusable, count(*) AS posts FROM documents GROUP BY lang")

@@ -58,22 +58,27 @@ PREPROCESSING_VERSION = "1.0.0"
 
 # --- English stop words: closed-class words (fixed values) ---
 STOP_WORDS = (
-    "a about above after again against all am an and any are as at be because been before being "
-    "below between both but by can could did do does doing don down during each few for from "
-    "further had has have having he her here hers herself him himself his how i if in into is it "
-    "its itself just ll me more most my myself no nor not now of off on once only or other our "
-    "ours ourselves out over own re s same she should so some such t than that the their theirs "
-    "them themselves then there these they this those through to too under until up ve very was "
-    "we were what when where which while who whom why will with would you your yours yourself "
-    "yourselves"
-).split()
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are",
+    "as", "at", "be", "because", "been", "before", "being", "below", "between", "both", "but",
+    "by", "can", "could", "did", "do", "does", "doing", "don", "down", "during", "each", "few",
+    "for", "from", "further", "had", "has", "have", "having", "he", "her", "here", "hers",
+    "herself", "him", "himself", "his", "how", "i", "if", "in", "into", "is", "it", "its",
+    "itself", "just", "ll", "me", "more", "most", "my", "myself", "no", "nor", "not", "now",
+    "of", "off", "on", "once", "only", "or", "other", "our", "ours", "ourselves", "out", "over",
+    "own", "re", "s", "same", "she", "should", "so", "some", "such", "t", "than", "that", "the",
+    "their", "theirs", "them", "themselves", "then", "there", "these", "they", "this", "those",
+    "through", "to", "too", "under", "until", "up", "ve", "very", "was", "we", "were", "what",
+    "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would", "you",
+    "your", "yours", "yourself", "yourselves",
+)
 
 # --- entity rules (fixed values) ---
 ENTITY_LABELS = ("PERSON", "ORG", "GPE", "PRODUCT", "EVENT", "NORP")
 GENERIC_ENTITIES = (
-    "new record investors scientists fans countries experts highlights how breakthrough "
-    "researchers debate renewable today tomorrow yesterday ai crypto climate health sports"
-).split()
+    "new", "record", "investors", "scientists", "fans", "countries", "experts", "highlights",
+    "how", "breakthrough", "researchers", "debate", "renewable", "today", "tomorrow",
+    "yesterday", "ai", "crypto", "climate", "health", "sports",
+)
 
 # --- sentiment (fixed values); the order also settles ties ---
 SENTIMENTS = ("positive", "neutral", "negative")

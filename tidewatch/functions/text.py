@@ -254,17 +254,6 @@ def topic_tokens(text: Column, stop_words: list[str] | tuple = tuple(V.STOP_WORD
     return F.filter(words(text), lambda w: (F.length(w) >= 2) & ~w.isin(list(stop_words)))
 
 
-def adjacent_pairs(tokens: Column) -> Column:
-    """Neighbouring tokens joined by a blank."""
-    following = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1)))
-    return F.when(F.size(tokens) < 2, F.array().cast("array<string>")).otherwise(
-        F.zip_with(
-            F.slice(tokens, F.lit(1), F.size(tokens) - 1),
-            following,
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        )
-    )
-
 
 def split_space(text: Column) -> Column:
     """Words between white space of any kind."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidewatch import fixed_values as V
 from tidewatch.functions import text as T
 from tidewatch.functions.numeric import round_exact
+from tidewatch.session import checkpointed
 
 _MAX_LISTED_WORDS = 2000  # beyond this the frequent words are joined instead of listed
 
@@ -88,17 +89,16 @@ def extract_keywords(
     (1 when it never occurs so), tfidf_score. Without any term, frequent long words are listed.
     """
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
-    tokens = texts.select(T.keyword_tokens(F.col("text"), stop_words).alias("tokens"))
-    terms = top_terms(tokens, max_features)
+    # Texts are cut into words once; all that follows reads the tokens, and then the hits, as stored.
+    prepared = checkpointed(
+        texts.select(T.keyword_tokens(F.col("text"), stop_words).alias("tokens"), T.split_space(F.col("text")).alias("raw"))
+    )
+    terms = top_terms(prepared.select("tokens"), max_features)
     if not terms:
         return frequent_words(texts, top_n)
 
-    prepared = texts.select(
-        T.keyword_tokens(F.col("text"), stop_words).alias("tokens"),
-        T.split_space(F.col("text")).alias("raw"),
-    )
-    hits = prepared.select(
-        _listed(F.col("tokens"), terms).alias("hits"), _listed(F.col("raw"), terms).alias("raw_hits")
+    hits = checkpointed(
+        prepared.select(_listed(F.col("tokens"), terms).alias("hits"), _listed(F.col("raw"), terms).alias("raw_hits"))
     )
     # Documents per term, and under the empty term all documents: at most `max_features` + 1 rows.
     present = F.concat(F.array(F.lit("")), F.array_distinct("hits"))

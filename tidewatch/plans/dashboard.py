@@ -12,8 +12,10 @@ from tidewatch.operators import filters, keywords
 from tidewatch.operators.buckets import hourly_rollup, timeline
 from tidewatch.operators.sentiment import sentiment_breakdown
 from tidewatch.operators.trends import classification_counts
+from tidewatch.plans.analysis import load_run
 from tidewatch.plans.topics import top_mentions
 from tidewatch.plans.trends import POST_COLUMNS, ranked_trends
+from tidewatch.sources.store import Store
 
 
 def platform_breakdown(posts: DataFrame) -> DataFrame:
@@ -48,6 +50,31 @@ def run_timeline(
     return timeline(hourly_rollup(rows.join(labels, "post_id", "left"), ()), window, clock)
 
 
+def stored_timeline(
+    tables: dict[str, DataFrame], window: str = "daily", platform: str | None = None, topic_id=None
+) -> DataFrame:
+    """The same timeline from a run's stored rollup alone; no post is read."""
+    rollup = tables["posts_rollup"]
+    clock = rollup.agg(F.max("latest_time").alias("clock")).scalar()
+    return timeline(rollup.where(filters.on_platform(platform) & filters.with_topic(topic_id)), window, clock)
+
+
+def dashboard_of_run(
+    store: Store, run_id: str | None, window: str = "daily", platform: str | None = None, dataset_id: str | None = None
+) -> dict[str, DataFrame]:
+    """The summary of a run, with its dataset's name, status and model information in `run`.
+
+    Without a run id the record is empty: zeros and empty lists, never another run's figures.
+    """
+    if run_id is None:
+        return no_data(store.spark)
+    tables = load_run(store, run_id, dataset_id)
+    runs = store.runs().where(F.col("analysis_run_id") == run_id)
+    named = with_dataset_name(runs, store.datasets())
+    shown = ("analysis_run_id", "dataset_id", "dataset_name", "status", "model_info", "created_at", "completed_at")
+    return {"run": named.select(*shown), **dashboard(tables, tables["hourly_rollup"], window, platform, run_id)}
+
+
 def dashboard(
     tables: dict[str, DataFrame],
     rollup: DataFrame,
@@ -55,7 +82,10 @@ def dashboard(
     platform: str | None = None,
     run_id: str = "",
 ) -> dict[str, DataFrame]:
-    """The summary's parts: totals, breakdowns and the top ten of each list."""
+    """The summary's parts: totals, breakdowns and the top ten of each list.
+
+    Posts per platform and in total come from the rollup of all posts where the run has stored one.
+    """
     clock = tables["posts"].agg(F.max("timestamp").alias("clock")).scalar()
     posts = tables["posts"].where(filters.on_platform(platform))
     ranked = ranked_trends(rollup, window, platform, clock, run_id)
@@ -87,6 +117,18 @@ def dashboard_totals(posts: DataFrame, ranked: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of the lists of a summary.
+_EMPTY = {
+    "run": "analysis_run_id string, dataset_id string, dataset_name string, status string, model_info string, "
+    "created_at timestamp, completed_at timestamp",
+    "platforms": "platform string, posts bigint",
+    "top_trends": "topic_id string, trend_score double, classification string",
+    "top_entities": "entity_id string, text string, label string, frequency bigint",
+    "top_hashtags": "hashtag string, frequency bigint, growth_rate double",
+    "top_keywords": "keyword string, keyword_type string, frequency bigint, tfidf_score double",
+}
+
+
 def no_data(spark) -> dict[str, DataFrame]:
     """The parts for a workspace without a run: zeros and empty lists."""
     zero: Column = F.lit(0).cast("bigint")
@@ -108,4 +150,5 @@ def no_data(spark) -> dict[str, DataFrame]:
             )
         ),
         "classifications": one.select(*[zero.alias(f"{c}_count") for c in V.CLASSIFICATIONS]),
+        **{part: spark.createDataFrame([], schema) for part, schema in _EMPTY.items()},
     }

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators import entities as E
 from tidewatch.operators import filters
 from tidewatch.operators.ranking import page
 
@@ -23,6 +24,14 @@ def list_entities(entities: DataFrame, label: str | None = None, limit: int = 50
     return page(chosen, [F.desc("frequency"), F.col("normalized_text"), F.col("label")], limit)
 
 
+def entity_listing(entities: DataFrame, label: str | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The listed entities, and the totals over all entities whatever the label: frequency by label,
+    and the number of entities in every row."""
+    totals = E.totals_by_label(entities)
+    number = entities.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return list_entities(entities, label, limit), totals.withColumn("total_entities", number)
+
+
 def list_keywords(table: DataFrame, limit: int = 50) -> DataFrame:
     """Keywords and pairs by score."""
     _check(limit, 100)
