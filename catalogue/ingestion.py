@@ -182,7 +182,8 @@ def _checked(spark, sf_dir):
 
 
 def _flagged(spark, sf_dir):
-    return validation.flag_duplicates(_checked(spark, sf_dir))
+    """Checked and flagged rows as an import makes them."""
+    return ingest.validate(T.staged_rows(spark, sf_dir), T.MAPPING).rows
 
 
 @query(

@@ -33,12 +33,13 @@ class Checked:
 
 
 def validate(staged: DataFrame, mapping: dict[str, str | None]) -> Checked:
-    """Apply the mapping and flag every row; one pass, stored for what follows."""
+    """Apply the mapping and flag every row. The checked rows are stored before duplicates are sought,
+    so times are parsed once."""
     names = [c for c in staged.columns if c not in validation.ROW_KEY]
     columns.check_mapping(mapping, names)
     mapped = columns.apply_mapping(staged, mapping, validation.ROW_KEY)
-    rows = checkpointed(validation.flag_duplicates(validation.check_rows(mapped)))
-    return Checked(rows, mapped)
+    rows = checkpointed(validation.check_rows(mapped))
+    return Checked(validation.flag_duplicates(rows), mapped)
 
 
 def import_dataset(

@@ -19,11 +19,13 @@ _C1_UNDEFINED = "[" + "".join(f"\\x{b[0]:02x}" for b in _C1 if b not in _C1_DEFI
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """`utf-8` when every line is valid UTF-8, else `windows-1252`; binary input is refused."""
-    lines = spark.read.text(path)
-    if not lines.where(F.contains("value", F.lit("\u0000"))).isEmpty():
+    found = spark.read.text(path).agg(
+        F.bool_or(F.contains("value", F.lit("\u0000"))).alias("binary"),
+        F.bool_or(~F.is_valid_utf8("value")).alias("broken"),
+    ).first()
+    if found["binary"]:
         raise ValueError("The file holds NUL bytes; it is no text in UTF-8 or Windows-1252.")
-    broken = lines.where(~F.is_valid_utf8("value"))
-    return "utf-8" if broken.isEmpty() else "windows-1252"
+    return "windows-1252" if found["broken"] else "utf-8"
 
 
 def _reader(spark: SparkSession, encoding: str, multi_line: bool):
