@@ -324,7 +324,7 @@ def parse(spark, sf_dir):
 
 @query("f2_free_form_timestamps", "SELECT event_id, date_trunc('minute', ts) AS parsed FROM events")
 def free_form(spark, sf_dir):
-    """A form no listed format fits, read by pandas."""
+    """A form no listed format fits."""
     events = T.table(spark, sf_dir, "events")
     written = F.date_format(F.col("ts").cast("timestamp"), "MMMM d, yyyy h:mm a")
     return events.select("event_id", TS.parse_timestamp(written).alias("parsed"))

@@ -65,6 +65,21 @@ def test_free_form_timestamps(spark):
     }
 
 
+def test_more_free_forms(spark):
+    half_past_two = datetime(2026, 7, 15, 14, 30)
+    expected = {
+        "Wed, 15 Jul 2026 14:30:00 GMT": half_past_two, "Wednesday, July 15, 2026 2:30:00 p.m.": half_past_two,
+        "15-Jul-2026 10:30 -04:00": half_past_two, "jul. 15 2026 2:30pm": half_past_two, "2026/07/15 14:30": half_past_two,
+        "15 july 2026": datetime(2026, 7, 15), "15.07.2026 14:30": half_past_two, "July 15, 2026 12:05 AM": datetime(2026, 7, 15, 0, 5),
+        "2026-07-15T14:30Z": half_past_two, "July 35, 2026": None, "July 15, 2026 25:00": None, "July 15, 2026 13:00 PM": None, "Foo 15, 2026": None,
+        "20261301": None, "14:30": None, "": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in expected], "raw string").select("raw", parse_timestamp(F.col("raw")).alias("t")).collect()
+    assert {r["raw"]: r["t"] for r in rows} == expected
+    plan = spark.createDataFrame([("x",)], "raw string").select(parse_timestamp(F.col("raw")))._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
 def test_detection_prefers_canonical_names():
     found = columns.detect_columns(["Tweet Text", "created-at", "likes", "body"])
     assert found.mapping["text"] == "Tweet Text" and found.confidence["text"] == pytest.approx(0.9)

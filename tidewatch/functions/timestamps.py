@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampType
 
 from tidewatch.functions.text import collapse_space
 
@@ -61,24 +59,53 @@ def parse_standard(raw: Column) -> Column:
     )
 
 
-def parse_free_form(raw: Column) -> Column:
-    """Whatever pandas reads as a time, naive meaning UTC; hand it the rest of `parse_standard`."""
+# Dates of free forms and their patterns, after commas, weekday and the dot of a short month are gone.
+_FREE_DATES = [
+    (_DATE, ["yyyy-M-d"]),
+    (r"\d{8}", ["yyyyMMdd"]),
+    (r"\d{4}/\d{1,2}/\d{1,2}", ["yyyy/M/d"]),
+    (_SLASHES, ["M/d/yyyy", "d/M/yyyy"]),
+    (_DOTS, ["d.M.yyyy"]),
+    (r"\p{Alpha}{3,9} \d{1,2} \d{4}", ["MMM d yyyy", "MMMM d yyyy"]),
+    (r"\d{1,2}[ -]\p{Alpha}{3,9}[ -]\d{4}", ["d MMM yyyy", "d MMMM yyyy"]),
+]
+_FREE_DATE = "|".join(shape for shape, _ in _FREE_DATES)
+_FREE_TIME = r"(?:(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?(?: ?([AaPp])\.?[Mm]\.?)?(?: ?(Z|UTC|GMT|[+-]\d{2}:?\d{2}))?)?"
+_FREE_FORM = rf"\A({_FREE_DATE})[ T]*{_FREE_TIME}\z"
 
-    def parse(texts: pd.Series) -> pd.Series:
-        distinct = pd.Series(texts.dropna().str.strip().unique(), dtype="object")
-        distinct = distinct[distinct != ""]
-        times = pd.to_datetime(distinct, utc=True, errors="coerce", format="mixed")
-        found = texts.str.strip().map(dict(zip(distinct, times)))
-        return pd.to_datetime(found, utc=True).astype("datetime64[us, UTC]")
 
-    return F.pandas_udf(parse, TimestampType())(raw)
+def parse_free_form(raw: Column) -> Column:
+    """A date in one of several ways to write it, a time of 12 or 24 hours behind it if any, and a
+    zone if any; naive means UTC, anything else is null. Hand it the rest of `parse_standard`."""
+    text = F.regexp_replace(collapse_space(raw), r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?[.,]? ", "")
+    text = collapse_space(F.regexp_replace(F.regexp_replace(text, ",", " "), r"(\p{Alpha}{3})\.(?= )", "$1"))
+    text = F.when(text.rlike(_FREE_FORM), text)
+    date = F.regexp_replace(F.initcap(F.lower(F.regexp_extract(text, _FREE_FORM, 1))), r"(?<=\p{Alpha})-|-(?=\p{Alpha})", " ")
+    date = F.initcap(date)
+    day = F.lit(None).cast("timestamp")
+    for shape, formats in reversed(_FREE_DATES):
+        parsed = F.coalesce(*[F.try_to_timestamp(date, F.lit(f)) for f in formats])
+        day = F.when(date.rlike(rf"\A(?:{shape})\z"), parsed).otherwise(day)
+
+    def part(n: int) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(text, _FREE_FORM, n), F.lit("")).cast("int"), F.lit(0))
+
+    half = F.upper(F.regexp_extract(text, _FREE_FORM, 5))
+    zone = F.regexp_extract(text, _FREE_FORM, 6)
+    numbers = F.regexp_replace(zone, "[^0-9]", "")
+    offset = F.when(
+        F.length(numbers) == 4,
+        (F.substring(numbers, 1, 2).cast("int") * 60 + F.substring(numbers, 3, 2).cast("int"))
+        * F.when(F.startswith(zone, F.lit("-")), -60).otherwise(60),
+    ).otherwise(0)
+    hour = F.when(half == "", part(2)).otherwise(part(2) % 12 + F.when(half == "P", 12).otherwise(0))
+    possible = (part(3) < 60) & (part(4) < 60) & F.when(half == "", part(2) < 24).otherwise(part(2).between(1, 12))
+    seconds = F.unix_seconds(day) + hour * 3600 + part(3) * 60 + part(4) - offset
+    return F.when(possible, F.timestamp_seconds(seconds))
 
 
 def parse_timestamp(raw: Column) -> Column:
-    """Timestamp of a text in any accepted form, else null.
-
-    Text that no listed format fits goes to pandas; other rows send it a null.
-    """
+    """Timestamp of a text in any accepted form, else null."""
     standard = parse_standard(raw)
     return F.coalesce(standard, parse_free_form(F.when(standard.isNull(), raw)))
 
