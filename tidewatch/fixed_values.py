@@ -122,3 +122,24 @@ TOPIC_FAMILIES = [
         "Sports Competition",
     ),
 ]
+
+# --- weights without engagement and without other weights (fixed values) ---
+EQUAL_SHARES = (0.333, 0.333, 0.334)  # volume, velocity, burst
+
+# --- sentences of a trend's explanation (fixed values) ---
+VOLUME_SENTENCE = ("Post volume ", " by ", "% compared to the previous period")
+ENGAGEMENT_SENTENCE = ("engagement ", " by ", "%")
+BURST_SENTENCE = ("activity is ", " standard deviations ", " the historical baseline")
+VOLUME_VERBS = ("increased", "decreased")
+ENGAGEMENT_VERBS = ("grew", "dropped")
+BURST_SIDES = ("above", "below")
+PACE_SENTENCES = ("growth is accelerating", "growth is decelerating")
+USUAL_SENTENCE = "Activity levels and engagement remain consistent with historical norms."
+FEW_POSTS_SENTENCE = ("Stable — insufficient current volume (", " < ", "). ")
+
+# --- details of row issues (fixed values) ---
+EMPTY_TEXT_DETAIL = "Text field is empty"
+SHORT_TEXT_DETAIL = ("Text too short (", " chars, min ", ")")
+EMPTY_TIME_DETAIL = "Timestamp is empty"
+BAD_TIME_DETAIL = ("Cannot parse timestamp: '", "'")
+DUPLICATE_DETAIL = "Repeated text; retained and flagged"

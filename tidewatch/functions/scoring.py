@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch import fixed_values as V
+
 
 @dataclass(frozen=True)
 class TrendConfig:
@@ -62,7 +64,7 @@ def momentum(
     if rest > 0:
         others = [x / rest for x in (w.weight_volume, w.weight_velocity, w.weight_burst)]
     else:
-        others = [0.333, 0.333, 0.334]
+        others = list(V.EQUAL_SHARES)
     full = (
         f"{w.weight_volume}D * {volume} + {w.weight_engagement}D * {engagement} "
         f"+ {w.weight_velocity}D * {velocity} + {w.weight_burst}D * {burst}"
@@ -110,20 +112,19 @@ def explanation(
     def either(x: str, above: str, below: str, up: str, down: str) -> str:
         return f"CASE WHEN {x} {above} THEN '{up}' WHEN {x} {below} THEN '{down}' END"
 
-    grew = either(volume_growth_pct, "> 15", "< -15", "increased", "decreased")
-    engaged = either(engagement_growth_pct, "> 15", "< -15", "grew", "dropped")
-    side = either(burst, ">= 2", "<= -2", "above", "below")
-    pace = either(velocity, "> 0.5", "< -0.5", "growth is accelerating", "growth is decelerating")
+    grew = either(volume_growth_pct, "> 15", "< -15", *V.VOLUME_VERBS)
+    engaged = either(engagement_growth_pct, "> 15", "< -15", *V.ENGAGEMENT_VERBS)
+    side = either(burst, ">= 2", "<= -2", *V.BURST_SIDES)
+    pace = either(velocity, "> 0.5", "< -0.5", *V.PACE_SENTENCES)
+    v, e, b = V.VOLUME_SENTENCE, V.ENGAGEMENT_SENTENCE, V.BURST_SENTENCE
     # A part without its verb is null, which concat_ws leaves out.
     joined = f"""concat_ws('. ',
-        concat('Post volume ', {grew}, ' by ', format_string('%.0f', {printed["volume"]}),
-               '% compared to the previous period'),
-        concat('engagement ', {engaged}, ' by ', format_string('%.0f', {printed["engagement"]}), '%'),
-        concat('activity is ', format_string('%.1f', {printed["burst"]}), ' standard deviations ',
-               {side}, ' the historical baseline'),
+        concat('{v[0]}', {grew}, '{v[1]}', format_string('%.0f', {printed["volume"]}), '{v[2]}'),
+        concat('{e[0]}', {engaged}, '{e[1]}', format_string('%.0f', {printed["engagement"]}), '{e[2]}'),
+        concat('{b[0]}', format_string('%.1f', {printed["burst"]}), '{b[1]}', {side}, '{b[2]}'),
         {pace})"""
-    usual = "Activity levels and engagement remain consistent with historical norms."
-    guard = f"concat('Stable — insufficient current volume (', {volume}, ' < {config.min_posts}). ')"
+    usual, few = V.USUAL_SENTENCE, V.FEW_POSTS_SENTENCE
+    guard = f"concat('{few[0]}', {volume}, '{few[1]}{config.min_posts}{few[2]}')"
     return F.expr(
         f"concat(CASE WHEN {volume} < {config.min_posts} THEN {guard} ELSE '' END, "
         f"coalesce(concat(nullif({joined}, ''), '.'), '{usual}'))"

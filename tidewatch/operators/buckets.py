@@ -87,7 +87,7 @@ def fill_gaps(metrics: DataFrame, window: str, clock: Column, keys: tuple[str, .
     ).withColumn("clock_start", kind.start(F.col("clock")))
     steps = (F.unix_seconds("clock_start") - F.unix_seconds("first_start")) / kind.seconds
     too_many = F.raise_error(
-        F.lit("The data spans too many time buckets. Use a narrower date range or a wider bucket.")
+        F.lit("More than 20,000 buckets from the first post to the clock; choose wider buckets or fewer days.")
     )
     stop = F.least("next_start", F.col("clock_start") + kind.step()) - kind.step()
     run = F.sequence("window_start", F.greatest("window_start", stop), kind.step())
