@@ -290,11 +290,12 @@ def _finish(scheme: Scheme, shards: int):
             flags, numbers = _verdicts(block, row["verdicts"])
             whole = scheme.answers(block, flags[block.entry], numbers[block.entry])
             begins, behind = [block.begins[whole]], [block.behind[whole]]
-            for payload in spans.column("payload"):
-                table = load(payload.as_buffer())
-                for run, which in block.runs_like_holders(table.column("at").to_numpy()):
-                    begins.append(block.begins[run] + table.column("begin").to_numpy()[which])
-                    behind.append(block.begins[run] + table.column("behind").to_numpy()[which])
+            if spans.num_rows:
+                found = pa.concat_tables([load(p.as_buffer()) for p in spans.column("payload")])
+                begin, stop = found.column("begin").to_numpy(), found.column("behind").to_numpy()
+                for run, which in block.runs_like_holders(found.column("at").to_numpy()):
+                    begins.append(block.begins[run] + begin[which])
+                    behind.append(block.begins[run] + stop[which])
             out.append(scheme.result(block, block.covered(np.concatenate(begins), np.concatenate(behind))))
         return pa.concat_tables(out)
 
