@@ -47,10 +47,11 @@ def csv_latin(spark, sf_dir):
     return _document_rows(_documents_as_csv(spark, sf_dir, "ISO-8859-1"))
 
 
-@query("s4_raw_preview", 'SELECT doc_id, "text", lang, source FROM documents ORDER BY doc_id LIMIT 20')
+@query("s4_raw_preview", 'SELECT CAST(doc_id AS VARCHAR) AS doc_id, "text", lang, source FROM documents ORDER BY documents.doc_id LIMIT 20')
 def raw_preview(spark, sf_dir):
-    documents = T.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return csv_scan.preview(documents.orderBy("doc_id"), 20)
+    """The first rows of the scanned upload, in the order of their ids."""
+    staged = _documents_as_csv(spark, sf_dir, "UTF-8").select("doc_id", "text", "lang", "source")
+    return csv_scan.preview(staged.orderBy(F.col("doc_id").cast("bigint")), 20)
 
 
 @query(

@@ -14,7 +14,8 @@ from tidewatch.operators import evaluation, filters, keywords, sentiment, topics
 from tidewatch.plans import analysis, dashboard, enrichment, search
 from tidewatch.plans import topics as topic_plans
 from tidewatch.plans import trends as trend_plans
-from tidewatch.sources.store import Store
+from tidewatch.plans.preprocess import preprocess
+from tidewatch.sources.store import Store, dataset_listing
 
 START = datetime(2026, 3, 2)
 
@@ -499,3 +500,35 @@ def test_failed_runs_are_recorded(spark, tmp_path):
         analysis.run_analysis(store, "d", analysis.Models(scorer=_even()))
     store.delete_dataset("d")
     assert store.datasets().count() == 0
+
+
+def test_views_of_a_run(spark, two_runs):
+    store, first, _ = two_runs
+    t = analysis.load_run(store, first, "d")
+    for window, platform in (("daily", None), ("hourly", "twitter"), ("weekly", "reddit")):
+        read = dashboard.run_timeline(t["posts"], t["sentiment"], window, platform)
+        stored = dashboard.stored_timeline(t, window, platform)
+        assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, read.collect()))
+    topic = t["topics"].where("NOT is_outlier").first()["topic_id"]
+    read = dashboard.run_timeline(t["posts"], t["sentiment"], "daily", None, t["post_topics"], topic)
+    assert sorted(map(tuple, dashboard.stored_timeline(t, "daily", None, topic).collect())) == sorted(map(tuple, read.collect()))
+    plan = dashboard.stored_timeline(t)._jdf.queryExecution().executedPlan().toString()
+    assert "canonical_posts" not in plan and "Join" not in plan
+    view = dashboard.dashboard_of_run(store, first, dataset_id="d")
+    header = view["run"].first()
+    assert (header["dataset_name"], header["status"]) == ("Demo", "completed") and "hashed word counts" in header["model_info"]
+    empty = dashboard.dashboard_of_run(store, None)
+    assert set(empty) == set(view) and empty["top_trends"].count() == empty["run"].count() == 0
+    listed, totals = enrichment.entity_listing(t["entities"], "ORG", 5)
+    assert listed.count() == 1 and {(r["label"], r["frequency"], r["total_entities"]) for r in totals.collect()} == {("ORG", 32, 1)}
+    page, number = dataset_listing(store.datasets(), 10, 0)
+    assert page.count() == number == 1
+
+
+def test_preprocessing_keeps_other_meta(spark):
+    posts = spark.createDataFrame(
+        [(1, "Some #Text", START, {"source": "export", "version": "0"})],
+        "post_id int, original_text string, timestamp timestamp, preprocessing_meta map<string,string>",
+    ).withColumn("hashtags", F.lit(None).cast("array<string>"))
+    meta = preprocess(posts).first()["preprocessing_meta"]
+    assert meta["source"] == "export" and meta["version"] == "1.0.0" and meta["hashtag_count"] == "1"
