@@ -9,9 +9,12 @@ With 32 sketches of two 5-mers, a pair whose 5-mers have a Jaccard similarity of
 candidate with probability 1e-14, of 0.5 with 1e-4.
 
 Exact copies are folded into their least id first, so copies are never paired. Each group of equal
-sketches then is compared with its least document, its pivot. Those that are not like the pivot go
-on in groups of equal pairs of sketches, again by pivots, until no group is left; no group is ever
-paired in full, or in one task. Classes are the connected components of all verified links.
+sketches then is compared with its least document, its pivot; no group is ever paired in full, or in
+one task. Documents that are not like the pivot go on in groups of equal pairs of sketches, with new
+pivots, `follow_ups` times. Near-duplicates share many of the 32 groups, most of them with their own
+kind alone, so a link is lost only if every group of theirs has a pivot that is unlike one of them,
+as in groups formed by a passage that many different documents hold. Classes are the connected
+components of all verified links.
 
 Null and empty texts are exact copies of each other. Texts of fewer than five words are one k-mer.
 """
@@ -168,7 +171,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = checkpointed(least.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
 
 
-def find_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def find_classes(docs: DataFrame, similarity: float = 0.8, follow_ups: int = 2) -> DataFrame:
     """Per document: doc_id, class_id (the least id of its class), copy_of (the least id with the same
     text) and kept (whether it is its class's document)."""
     rows = id_and_text(docs)
@@ -190,7 +193,7 @@ def find_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "keys": keys})
 
     sketched = rows.mapInArrow(sketch, "doc_id long, keys array<long>").join(firsts, "doc_id", "left_semi")
-    starred = checkpointed(_star(sketched.select("doc_id", F.explode("keys").alias("key")).distinct()))
+    starred = checkpointed(_star(sketched.select("doc_id", F.explode("keys").alias("key"))))
     paired = starred.select("doc_id").union(starred.select(F.col("pivot").alias("doc_id"))).distinct()
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,13 +210,10 @@ def find_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     keys = unlike.groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most SKETCHES each
     two = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))")
     left = checkpointed(keys.select("doc_id", F.explode(two).alias("key")))
-    while True:
+    for _ in range(follow_ups):
         starred = checkpointed(_star(left))
-        if starred.isEmpty():
-            break
         fresh = starred.select("doc_id", "pivot").distinct().join(tested, ["doc_id", "pivot"], "left_anti")
-        more = checkpointed(_verified(fresh, words, similarity))
-        links, tested = links.union(more), tested.union(fresh)
+        links, tested = links.union(checkpointed(_verified(fresh, words, similarity))), tested.union(fresh)
         left = checkpointed(starred.join(links, ["doc_id", "pivot"], "left_anti").select("doc_id", "key"))
 
     ends = links.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
