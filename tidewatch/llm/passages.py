@@ -31,6 +31,7 @@ from tidewatch.llm.blocks import documents_of, dump, load, pack, shuffle_partiti
 from tidewatch.llm.hashing import mixed
 
 BLOCK_BYTES = 4 << 20
+SHARDS_PER_PARTITION = 2  # a task holds one shard's reference at a time
 REPEATED, WANTED = 1, 2
 _BASE = 0x9E3779B97F4A7C15
 _ANSWER = StructType(
@@ -304,7 +305,7 @@ def _finish(scheme: Scheme, shards: int):
 
 def without_repeats(docs: DataFrame, scheme: Scheme, schema: str) -> DataFrame:
     """`scheme.result` of every block of `docs`, given the symbols that repeated windows cover."""
-    shards = shuffle_partitions(docs)
+    shards = SHARDS_PER_PARTITION * shuffle_partitions(docs)
     blocks = pack(docs, BLOCK_BYTES)
     entries = blocks.mapInArrow(_split(scheme, shards), _ANSWER)
     verdicts = entries.groupBy("shard").applyInArrow(_judge(scheme), _ANSWER)
