@@ -18,34 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.blocks import id_and_text
+from tidewatch.llm.caches import Cache
 from tidewatch.llm.pretokens import ids_of, unit_keys
 
-CACHED_UNITS = 400_000
-
-
-class Lengths(dict):
-    """Lengths of units: the frequent ones stay, of the others the cache keeps a bounded number."""
-
-    def __init__(self, tokenizer_path: str, frequent: dict[bytes, int]):
-        super().__init__(frequent)
-        self.path, self.frequent = tokenizer_path, frequent
-
-    def __missing__(self, key: bytes) -> int:
-        if len(self) >= CACHED_UNITS + len(self.frequent):
-            self.clear()
-            self.update(self.frequent)
-        n = len(ids_of(self.path, key))
-        if len(key) <= 256:
-            self[key] = n
-        return n
+CACHED_UNITS = 200_000
 
 
 @lru_cache(maxsize=1)
-def _lengths(tokenizer_path: str, blob: bytes, ends: bytes, lengths: bytes) -> Lengths:
+def _lengths(tokenizer_path: str, blob: bytes, ends: bytes, lengths: bytes) -> Cache:
     stops = np.frombuffer(ends, "<u4").tolist()
     starts = [0, *stops[:-1]] if stops else []
     keys = [blob[a:b] for a, b in zip(starts, stops)]
-    return Lengths(tokenizer_path, dict(zip(keys, np.frombuffer(lengths, "<u2").tolist())))
+    frequent = dict(zip(keys, np.frombuffer(lengths, "<u2").tolist()))
+    return Cache(lambda key: len(ids_of(tokenizer_path, key)), CACHED_UNITS, frequent)
 
 
 def frequent_units(docs: DataFrame, table_units: int, sample_rows: int, max_unit_bytes: int) -> list[bytes]:

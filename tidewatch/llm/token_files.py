@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.blocks import id_and_text, shuffle_partitions
+from tidewatch.llm.caches import Cache
 from tidewatch.llm.pretokens import tokenizer
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
@@ -79,45 +81,34 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
 
-class WordIds(dict):
-    """Little-endian ids of chunks of text between white space, kept in a bounded cache.
+@lru_cache(maxsize=2)
+def _word_ids(path: str, kind: str) -> Cache:
+    """Little-endian ids of chunks of text between white space.
 
     A chunk of plain letters, digits and marks is cut into words here, each of which the library's
     model encodes once; any other chunk goes through the library as it is.
     """
+    loaded, packed = tokenizer(path), struct.Struct
+    letter = {"<u2": "H", "<u4": "I"}[kind]
+    model, find, plain = loaded.model, _WORD.findall, _PLAIN.match
 
-    def __init__(self, path: str, kind: str):
-        super().__init__()
-        self.path, self.kind, self.words = path, kind, {}
-        self.added = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            letters = word.encode().decode("latin-1").translate(_LETTERS)
-            ids = [t.id for t in tokenizer(self.path).model.tokenize(letters)]
-            found = self.words[word] = np.array(ids, self.kind).tobytes()
-        return found
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        text = chunk.decode("utf-8", "replace")
-        if _PLAIN.match(text) and "<" not in text:
-            found = b"".join([self._word(w) for w in _WORD.findall(text.lower())])
-        else:
-            ids = tokenizer(self.path).encode(text, add_special_tokens=False).ids
-            found = np.array(ids, self.kind).tobytes()
-        if len(chunk) <= 256:
-            self[chunk] = found
-        return found
+    def pack(ids: list[int]) -> bytes:
+        return packed(f"<{len(ids)}{letter}").pack(*ids)
 
+    def of_word(word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        return pack([t.id for t in model.tokenize(letters)])
 
-@lru_cache(maxsize=2)
-def _word_ids(path: str, kind: str) -> WordIds:
-    return WordIds(path, kind)
+    words = Cache(of_word, CACHED_WORDS)
+
+    def of_chunk(chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        if plain(text) and "<" not in text:
+            text = text.lower()
+            return words[text] if text.isalpha() else b"".join([words[w] for w in find(text)])
+        return pack(loaded.encode(text, add_special_tokens=False).ids)
+
+    return Cache(of_chunk, CACHED_WORDS)
 
 
 def id_kind(tokenizer_path: str, end_id: int) -> str:
