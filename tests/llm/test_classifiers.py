@@ -93,8 +93,9 @@ def test_without_labels_of_both_kinds(spark, corpus, none, module):
 
 
 def test_misspellings_share_vectors():
-    shared = set(toxicity.subwords(b"grumblefink")) & set(toxicity.subwords(b"Grumblefinck!"))
-    assert len(shared) > 8
+    word, bucket = toxicity.subwords([toxicity.word_of(b"grumblefink"), toxicity.word_of(b"Grumblefinck!"), "", "é"])
+    assert len(set(bucket[word == 0]) & set(bucket[word == 1])) > 8
+    assert set(word) == {0, 1, 2, 3} and (bucket < toxicity.BUCKETS).all()
 
 
 def test_indicators_are_distinct_and_per_document():

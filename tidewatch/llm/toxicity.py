@@ -15,7 +15,6 @@ training of the final model. Its bias is moved to where the documents' most toxi
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,21 +23,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewatch.llm.blocks import id_and_text
+from tidewatch.llm.hashing import mixed
 from tidewatch.llm.labelled import held_out, training_rows
 
 SEGMENT = 8
 SURE = 0.9
 BUCKETS = 1 << 17
 WIDTH = 8
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 _MARKS = re.compile(r"[\W_]+")
-
-
-def subwords(chunk: bytes) -> list[int]:
-    """The buckets of a word's n-grams; case and marks do not count."""
-    word = f"<{_MARKS.sub('', chunk.decode('utf-8', 'replace').lower())}>"
-    grams = [word, *(word[i : i + n] for n in (3, 4, 5) for i in range(len(word) - n + 1))]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+_POWERS = np.random.default_rng(29).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+
+
+def word_of(chunk: bytes) -> str:
+    """The word of a chunk between white space; case and marks do not count."""
+    text = chunk.decode("utf-8", "replace").lower()
+    return text if text.isalnum() else _MARKS.sub("", text)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of all n-grams of some words, by word; every word has itself as one."""
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    of = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(codes)) - np.repeat(begins, sizes)
+    numbers, grams = [np.arange(len(words))], [mixed(np.add.reduceat(mixed(codes + np.uint64(1)) * _POWERS[place & 255], begins))]
+    gram = codes
+    for n in range(2, 6):
+        gram = gram[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+        if n > 2:
+            inside = of[: len(gram)] == of[n - 1 :]
+            numbers.append(of[: len(gram)][inside])
+            grams.append(mixed(gram[inside] + np.uint64(n << 50)))
+    number = np.concatenate(numbers)
+    order = np.argsort(number, kind="stable")
+    return number[order], (np.concatenate(grams)[order] % np.uint64(BUCKETS)).astype(np.int64)
 
 
 @dataclass
@@ -58,9 +79,9 @@ def _flat(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
 class _Trainer:
     """Adagrad on embeddings and softmax together, over segments given as word numbers."""
 
-    def __init__(self, word_grams: list[list[int]], segments: list[np.ndarray]):
-        self.grams = np.concatenate([np.array(g, np.int64) for g in word_grams])
-        self.gram_ends = np.cumsum([len(g) for g in word_grams])
+    def __init__(self, word_grams: tuple[np.ndarray, np.ndarray], segments: list[np.ndarray]):
+        counts, self.grams = word_grams
+        self.gram_ends = np.cumsum(counts)
         self.words = np.concatenate(segments)
         self.word_ends = np.cumsum([len(s) for s in segments])
         self.random = np.random.default_rng(7)
@@ -119,6 +140,16 @@ class _Trainer:
         return Model(odds.astype(np.float32), float(self.bias[1] - self.bias[0]))
 
 
+def _grams_of(chunks: list[bytes], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """How many n-grams the words of some chunks have, and all their buckets."""
+    counts, buckets = [], []
+    for a in range(0, len(chunks), part):
+        word, bucket = subwords([word_of(c) for c in chunks[a : a + part]])
+        counts.append(np.bincount(word))
+        buckets.append(bucket.astype(np.int32))
+    return np.concatenate(counts), np.concatenate(buckets)
+
+
 def train(texts: list[bytes], labels: list[int], epochs: tuple[int, int] = (2, 5)) -> Model | None:
     """A model of the given rows; none unless both classes have words."""
     numbers: dict[bytes, int] = {}
@@ -132,7 +163,7 @@ def train(texts: list[bytes], labels: list[int], epochs: tuple[int, int] = (2, 5
     of, y = np.array(of_doc), np.array(doc_labels)
     if not len(y) or y.min() == y.max():
         return None
-    grams, every = [subwords(c) for c in numbers], np.arange(len(y))
+    grams, every = _grams_of(list(numbers)), np.arange(len(y))
     odds = np.zeros(len(y))
     for half in (0, 1):
         learnt, judged = every[of % 2 == half], every[of % 2 != half]
@@ -172,20 +203,49 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: in
     return train([bytes(r["text"]) for r in rows], [r["label"] for r in rows])
 
 
-class _Odds(dict):
-    """Log-odds of words, kept in a bounded cache."""
-
-    def __init__(self, weights: np.ndarray):
-        super().__init__()
-        self.weights = weights
-
-    def __missing__(self, chunk: bytes) -> float:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = float(self.weights[subwords(chunk)].mean())
-        if len(chunk) <= 256:
-            self[chunk] = value
-        return value
+class WordOdds:
+    """Log-odds of chunks of text, the mean over their word's n-grams; kept for a bounded number."""
+
+    def __init__(self, model: Model):
+        self.weights, self.known = model.weights.astype(np.float64), {}
+
+    def of(self, chunks: list[bytes]) -> np.ndarray:
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        known = self.known
+        fresh = list({c for c in chunks if c not in known})
+        if fresh:
+            word, bucket = subwords([word_of(c) for c in fresh])
+            known.update(zip(fresh, (np.bincount(word, self.weights[bucket]) / np.bincount(word)).tolist()))
+        return np.array([known[c] for c in chunks])
+
+
+def _text_scores(texts: list[bytes], odds: WordOdds, bias: float) -> np.ndarray:
+    """Scores of texts: the logistic of their most toxic segment's mean; 0 without words."""
+    split = [t.split() for t in texts]
+    sizes = np.array([len(s) for s in split], np.int64)
+    values = odds.of([c for s in split for c in s])
+    segments = -(-sizes // SEGMENT)
+    first = np.repeat(np.cumsum(sizes) - sizes, segments) + SEGMENT * _flat(np.zeros_like(segments), segments)
+    scores = np.zeros(len(texts))
+    if len(first):
+        means, worded = np.add.reduceat(values, first) / SEGMENT, segments > 0
+        most = np.maximum.reduceat(means, (np.cumsum(segments) - segments)[worded])
+        scores[worded] = 1 / (1 + np.exp(-np.clip(most + bias, -50, 50)))
+    return scores
+
+
+def _slices(texts: list[bytes], most: int = 2 << 20) -> Iterator[list[bytes]]:
+    """Runs of texts of about `most` bytes."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size > most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
@@ -197,14 +257,12 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
     given = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds = _Odds(given.value.weights) if given.value else None
+        odds = WordOdds(given.value) if given.value else None
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            for i, text in enumerate(batch.column("text").to_pylist() if odds is not None else []):
-                values = np.array([odds[c] for c in text.split()])
-                if len(values):
-                    means = np.add.reduceat(values, np.arange(0, len(values), SEGMENT)) / SEGMENT
-                    scores[i] = 1 / (1 + np.exp(-np.clip(means.max() + given.value.bias, -50, 50)))
+            if odds is not None and batch.num_rows:
+                texts = batch.column("text").to_pylist()
+                scores = np.concatenate([_text_scores(part, odds, given.value.bias) for part in _slices(texts)])
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
