@@ -10,8 +10,8 @@ candidate with probability 1e-14, of 0.5 with 1e-4.
 
 Exact copies are folded into their least id first, so copies are never paired. Each group of equal
 sketches then is compared with its least document, its pivot; no group is ever paired in full, or in
-one task. Documents that are not like the pivot go on in groups of equal pairs of sketches, with new
-pivots, `follow_ups` times. Near-duplicates share many of the 32 groups, most of them with their own
+one task. Documents that are not like the pivot go on in groups of equal pairs of sketches, each
+sketch paired with its next two by hash, with new pivots, `follow_ups` times. Near-duplicates share many of the 32 groups, most of them with their own
 kind alone, so a link is lost only if every group of theirs has a pivot that is unlike one of them,
 as in groups formed by a passage that many different documents hold. Classes are the connected
 components of all verified links.
@@ -208,7 +208,8 @@ def find_classes(docs: DataFrame, similarity: float = 0.8, follow_ups: int = 2)
     links = checkpointed(_verified(tested, words, similarity))
     unlike = starred.join(links, ["doc_id", "pivot"], "left_anti").select("doc_id", "key").distinct()
     keys = unlike.groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most SKETCHES each
-    two = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))")
+    # Each sketch with its two next ones in the order of the hashes: rows stay in proportion to sketches.
+    two = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, 2), y -> xxhash64(x, y))))")
     left = checkpointed(keys.select("doc_id", F.explode(two).alias("key")))
     for _ in range(follow_ups):
         starred = checkpointed(_star(left))
