@@ -155,20 +155,23 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label): the least node that links (a, b) connect each of `nodes` (node) to.
 
-    Every round takes the least label next to a node and the label of that label, until none changes.
+    Every round each node steps to its least neighbour, and on to that one's, if those are less; the
+    links are then drawn between the places reached, and only those between different places stay.
     """
-    both = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = checkpointed(nodes.select("node", F.col("node").alias("label")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        least = labels.join(near, F.col("node") == F.col("a"), "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")
-        )
-        least = checkpointed(least)
-        if least.where("label < old").isEmpty():
-            return least.select("node", "label")
-        jump = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = checkpointed(least.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
+    labels = nodes.select("node", F.col("node").alias("label"))
+    edges = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    while not edges.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min("b").alias("near")).select("a", F.least("a", "near").alias("to"))
+        first = checkpointed(first)
+        second = first.select(F.col("a").alias("to"), F.col("to").alias("further"))
+        steps = checkpointed(first.join(second, "to").select("a", F.col("further").alias("to")))
+        labels = labels.join(steps.select(F.col("a").alias("label"), "to"), "label", "left")
+        labels = checkpointed(labels.select("node", F.coalesce("to", "label").alias("label")))
+        moved = edges.join(steps.withColumnRenamed("to", "x"), "a").select("x", "b")
+        moved = moved.join(steps.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").where("x != y")
+        edges = checkpointed(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    return labels
 
 
 def find_classes(docs: DataFrame, similarity: float = 0.8, follow_ups: int = 2) -> DataFrame:
