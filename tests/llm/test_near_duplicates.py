@@ -1,5 +1,6 @@
 """Near-duplicate classes against all pairs, and the parts they are made of."""
 
+import itertools
 import random
 
 import numpy as np
@@ -96,3 +97,15 @@ def test_sketches(n):
         other = words.copy()
         other[::50] += np.uint64(1)
         assert (found == near_duplicates.sketches(other)).sum() >= 14
+
+
+def test_pairs_within_common_passages(spark):
+    """Documents made of passages that many unlike ones hold keep the links between any two of them."""
+    parts, pick, rows = [prose(300 + k, 60, 3000) for k in range(10)], random.Random(5), []
+    for k, chosen in enumerate(pick.sample(list(itertools.combinations(range(10), 3)), 100)):
+        text = " ".join(parts[c] for c in chosen)
+        rows += [(k, edited(text, 5000 + k, 0.04)), (999 - k, edited(text, 7000 + k, 0.04))]
+    docs = importable(spark).createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_duplicates.find_classes(docs).collect()}
+    expected = classes(rows)
+    assert found == expected and len(set(expected.values())) > 50

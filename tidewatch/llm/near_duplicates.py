@@ -6,17 +6,19 @@ k-mers under one hash function and keeps them in the order of the text: sketches
 that are alike in content and in order. Two documents are near-duplicates if their edit similarity,
 1 - distance / length of the longer, is at least 0.8; only distances within that band are computed.
 With 32 sketches of two 5-mers, a pair whose 5-mers have a Jaccard similarity of 0.8 is missed as a
-candidate with probability 1e-14, of 0.5 with 1e-4.
+candidate with probability 1e-14, of 0.5 with 1e-4. Every pair with a common key is decided.
 
 Exact copies are folded into their least id first, so copies are never paired. Each group of equal
-sketches then is compared with its least document, its pivot; no group is ever paired in full, or in
-one task. Documents that are not like the pivot go on in groups of equal pairs of sketches, each
-sketch paired with its next two by hash, with new pivots, `follow_ups` times. Near-duplicates share many of the 32 groups, most of them with their own
-kind alone, so a link is lost only if every group of theirs has a pivot that is unlike one of them,
-as in groups formed by a passage that many different documents hold. Classes are the connected
-components of all verified links.
-
-Null and empty texts are exact copies of each other. Texts of fewer than five words are one k-mer.
+keys then is compared with its least document, its pivot. That leaves groups that hold documents of
+different components. Of those, all pairs from different components are compared, linked or not: by
+length and by a lower bound of the distance from counts of hashed words, in blocks of documents of
+like length, then those within the bound by alignment, the closest first, so that what they connect
+needs no more comparing. Classes are the connected components of all verified links.
+
+The block step is exact and grows with the square of the number of documents of like length in a
+group that are in different components, as in groups formed by a passage that many documents hold.
+
+Null and empty texts are exact copies of each other.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from tidewatch.llm.hashing import mixed, word_hashes
 from tidewatch.session import checkpointed
 
 K, L, SKETCHES = 5, 2, 32
+#: Counts of hashed words that bound a distance, and documents of a block.
+BINS, BLOCK = 256, 512
 _SEEDS = np.random.default_rng(17).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -80,6 +84,11 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_counts(words: np.ndarray) -> bytes:
+    """How many words have each hash below `BINS`, at most 255. An edit changes two counts by one."""
+    return np.minimum(np.bincount((words & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def distance_within(a: list, b: list, most: int) -> int | None:
     """The edit distance of two sequences if it is at most `most`: bit-parallel over the diagonals
     that a distance of `most` can reach."""
@@ -128,10 +137,81 @@ def distance_within(a: list, b: list, most: int) -> int | None:
     return score if score <= most else None
 
 
-def _star(rows: DataFrame) -> DataFrame:
-    """(key, doc_id, pivot) of the rows (key, doc_id) whose key has another, lesser document."""
+def _groups(rows: DataFrame) -> DataFrame:
+    """(key, doc_id, pivot) of the rows (key, doc_id) whose key several documents hold; the pivot is the least."""
     pivots = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
-    return rows.join(pivots.where("pivot < last").select("key", "pivot"), "key").where("doc_id > pivot")
+    return rows.join(pivots.where("pivot < last").select("key", "pivot"), "key")
+
+
+def _within_bound(blocks: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, pivot, bound): the pairs of different components in two blocks, or in one, whose edit
+    distance can be within the band, and its lower bound as a share of the longer."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, others, bounds = [], [], []
+            for row in range(batch.num_rows):
+                side = []
+                for name in ("", "other_"):
+                    column = batch.column(name + "members")
+                    members = column.values.slice(column.offsets[row].as_py(), column.offsets[row + 1].as_py() - column.offsets[row].as_py())
+                    ids, labels, sizes = (members.field(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "label", "n"))
+                    counts = np.frombuffer(b"".join(members.field("counts").to_pylist()), np.uint8).reshape(-1, BINS)
+                    side.append((ids, labels, sizes, counts, counts.sum(axis=1, dtype=np.int64)))
+                (ids, labels, sizes, counts, sums), (ids2, labels2, sizes2, counts2, sums2) = side
+                same = batch.column("same")[row].as_py()
+                for i in range(len(ids)):
+                    longer = np.maximum(sizes2, sizes[i])
+                    most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+                    at = (labels2 != labels[i]) & (np.abs(sizes2 - sizes[i]) <= most)
+                    if same:
+                        at &= ids2 > ids[i]
+                    at = np.flatnonzero(at)
+                    if not len(at):
+                        continue
+                    common = np.minimum(counts2[at], counts[i]).sum(axis=1, dtype=np.int64)
+                    least = np.maximum(np.maximum(sums2[at], sums[i]) - common, np.abs(sizes2[at] - sizes[i]))
+                    fits = least <= most[at]
+                    at = at[fits]
+                    docs.append(np.maximum(ids2[at], ids[i]))
+                    others.append(np.minimum(ids2[at], ids[i]))
+                    bounds.append(least[fits] / longer[at])
+            flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((docs, np.int64), (others, np.int64), (bounds, np.float64))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["doc_id", "pivot", "bound"])
+
+    return blocks.mapInArrow(compare, "doc_id long, pivot long, bound double")
+
+
+def _block_pairs(groups: DataFrame, labels: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(members, other_members, same): blocks of documents of one group, of which some pair may be alike
+    and is in different components `labels` (doc_id, label). Every such pair is in some row."""
+    rows = groups.select("key", "doc_id").join(labels, "doc_id")
+    found = rows.groupBy("key").agg(
+        F.count("*").alias("size"), F.expr("bit_xor(xxhash64(doc_id))").alias("set"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    )
+    # Pairs are compared with the pivot already; groups of the same documents need comparing once.
+    open_keys = found.where("size > 2 AND lo < hi").groupBy("size", "set").agg(F.min("key").alias("key")).select("key")
+    # Texts whose lengths differ by no more than the band are in one class of lengths or in two next ones.
+    level = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
+    rows = checkpointed(rows.join(open_keys, "key").join(words.select("doc_id", level.alias("level")), "doc_id"))
+    sizes = rows.groupBy("key", "level").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    below = sizes.select("key", (F.col("level") + 1).alias("level"), F.col("blocks").alias("blocks_below"))
+    sizes = sizes.join(below, ["key", "level"], "left")
+    rows = rows.join(sizes, ["key", "level"]).withColumn("block", F.expr("pmod(xxhash64(doc_id, 5), blocks)").cast("int"))
+    rows = rows.join(words.select("doc_id", "n", "counts"), "doc_id")
+    blocks = rows.groupBy("key", "level", "block").agg(
+        F.collect_list(F.struct("doc_id", "label", "n", "counts")).alias("members"), F.first("blocks").alias("blocks"), F.first("blocks_below").alias("below")
+    )
+    blocks = checkpointed(blocks)
+    meets = (
+        "concat(transform(sequence(0, block), b -> struct(level, b AS block)),"
+        " if(below IS NULL, array(), transform(sequence(0, coalesce(below, 1) - 1), b -> struct(level - 1 AS level, b AS block))))"
+    )
+    others = blocks.select("key", F.col("level").alias("own"), F.col("block").alias("own_block"), F.col("members").alias("other_members"), F.explode(F.expr(meets)).alias("at"))
+    others = others.select("key", "at.level", "at.block", "own", "own_block", "other_members")
+    pairs = blocks.select("key", "level", "block", "members").join(others, ["key", "level", "block"])
+    same = (F.col("own") == F.col("level")) & (F.col("own_block") == F.col("block"))
+    return pairs.select("members", "other_members", same.alias("same")).where("NOT same OR size(members) > 1")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -148,7 +228,7 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(kept, pa.int64())), batch.column("pivot").take(pa.array(kept, pa.int64()))], ["doc_id", "pivot"])
 
     pivots = words.select(F.col("doc_id").alias("pivot"), F.col("words").alias("pivot_words"))
-    joined = pairs.join(words, "doc_id").join(pivots, "pivot").select("doc_id", "pivot", "words", "pivot_words")
+    joined = pairs.join(words.select("doc_id", "words"), "doc_id").join(pivots, "pivot").select("doc_id", "pivot", "words", "pivot_words")
     return joined.mapInArrow(align, "doc_id long, pivot long")
 
 
@@ -174,7 +254,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def find_classes(docs: DataFrame, similarity: float = 0.8, follow_ups: int = 2) -> DataFrame:
+def find_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Per document: doc_id, class_id (the least id of its class), copy_of (the least id with the same
     text) and kept (whether it is its class's document)."""
     rows = id_and_text(docs)
@@ -190,39 +270,43 @@ def find_classes(docs: DataFrame, similarity: float = 0.8, follow_ups: int = 2)
                 _, words = word_hashes(np.frombuffer(text, np.uint8), ignore_case=True)
                 if len(words):
                     ids.append(doc_id)
-                    found.append(mixed(sketches(words) ^ _SEEDS))
+                    found.append(np.unique(mixed(sketches(words) ^ _SEEDS)))
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCHES, dtype=np.int32)), pa.array(flat))
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "keys": keys})
 
     sketched = rows.mapInArrow(sketch, "doc_id long, keys array<long>").join(firsts, "doc_id", "left_semi")
-    starred = checkpointed(_star(sketched.select("doc_id", F.explode("keys").alias("key"))))
-    paired = starred.select("doc_id").union(starred.select(F.col("pivot").alias("doc_id"))).distinct()
+    groups = checkpointed(_groups(sketched.select("doc_id", F.explode("keys").alias("key"))))
+    paired = groups.select("doc_id").distinct()
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [word_hashes(np.frombuffer(t, np.uint8), True)[1].astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "words": pa.array(found, pa.binary())})
+            found = [word_hashes(np.frombuffer(t, np.uint8), True)[1] for t in batch.column("text").to_pylist()]
+            columns = {"words": pa.array([w.astype("<u4").tobytes() for w in found], pa.binary()), "n": pa.array(map(len, found), pa.int64())}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **columns, "counts": pa.array(map(word_counts, found), pa.binary())})
 
     texts = rows.join(paired, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    words = checkpointed(texts.mapInArrow(words_of, "doc_id long, words binary"))
+    words = checkpointed(texts.mapInArrow(words_of, "doc_id long, words binary, n long, counts binary"))
 
-    tested = starred.select("doc_id", "pivot").distinct()
+    tested = checkpointed(groups.where("doc_id > pivot").select("doc_id", "pivot").distinct())
     links = checkpointed(_verified(tested, words, similarity))
-    unlike = starred.join(links, ["doc_id", "pivot"], "left_anti").select("doc_id", "key").distinct()
-    keys = unlike.groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most SKETCHES each
-    # Each sketch with its two next ones in the order of the hashes: rows stay in proportion to sketches.
-    two = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, 2), y -> xxhash64(x, y))))")
-    left = checkpointed(keys.select("doc_id", F.explode(two).alias("key")))
-    for _ in range(follow_ups):
-        starred = checkpointed(_star(left))
-        fresh = starred.select("doc_id", "pivot").distinct().join(tested, ["doc_id", "pivot"], "left_anti")
-        links, tested = links.union(checkpointed(_verified(fresh, words, similarity))), tested.union(fresh)
-        left = checkpointed(starred.join(links, ["doc_id", "pivot"], "left_anti").select("doc_id", "key"))
-
-    ends = links.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-    nodes = ends.select(F.col("a").alias("node")).union(ends.select(F.col("b").alias("node"))).distinct()
-    found = components(nodes, ends).select(F.col("node").alias("copy_of"), "label")
+    nodes = checkpointed(paired.select(F.col("doc_id").alias("node")))
+    found = components(nodes, links.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+    pairs = _block_pairs(groups, found.select(F.col("node").alias("doc_id"), "label"), words, similarity)
+    left = _within_bound(pairs, similarity).groupBy("doc_id", "pivot").agg(F.min("bound").alias("bound"))
+    left = checkpointed(left.join(tested, ["doc_id", "pivot"], "left_anti"))
+    for share in (0.5, 0.75, None):  # the closest first; the last round takes all that is left
+        own, other = found.select(F.col("node").alias("doc_id"), F.col("label").alias("x")), found.select(F.col("node").alias("pivot"), F.col("label").alias("y"))
+        left = checkpointed(left.join(own, "doc_id").join(other, "pivot").where("x != y").drop("x", "y"))
+        near = left if share is None else left.where(F.col("bound") <= share * (1 - similarity))
+        if near.isEmpty():
+            continue
+        links = links.union(checkpointed(_verified(near.select("doc_id", "pivot"), words, similarity)))
+        found = components(nodes, links.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+        left = left.join(near, ["doc_id", "pivot"], "left_anti")
+
+    found = found.withColumnRenamed("node", "copy_of")
     classes = copies.join(found, "copy_of", "left")
     class_id = F.coalesce("label", "copy_of")
     return classes.select("doc_id", class_id.alias("class_id"), "copy_of", (F.col("doc_id") == class_id).alias("kept"))
