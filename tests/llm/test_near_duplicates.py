@@ -99,6 +99,16 @@ def test_sketches(n):
         assert (found == near_duplicates.sketches(other)).sum() >= 14
 
 
+def test_variants_of_a_base(spark):
+    """Variants that are like their base only, which is neither the least nor a pivot of most groups."""
+    body = prose(90, 300, 3000)
+    rows = [(k, edited(body, 1000 + k, 0.11)) for k in range(200) if k != 120]
+    rows.append((120, body))
+    docs = importable(spark).createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_duplicates.find_classes(docs).collect()}
+    assert found == classes(rows) and sum(c == 0 for c in found.values()) > 150
+
+
 def test_pairs_within_common_passages(spark):
     """Documents made of passages that many unlike ones hold keep the links between any two of them."""
     parts, pick, rows = [prose(300 + k, 60, 3000) for k in range(10)], random.Random(5), []
