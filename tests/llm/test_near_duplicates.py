@@ -119,3 +119,19 @@ def test_pairs_within_common_passages(spark):
     found = {r.doc_id: r.class_id for r in near_duplicates.find_classes(docs).collect()}
     expected = classes(rows)
     assert found == expected and len(set(expected.values())) > 50
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.87, short and long, against all pairs."""
+    pick, rows = random.Random(12), []
+    for k in range(300):
+        n = pick.choice([5, 6, 7, 9, 10, 12, 15, 20, 25, 32, 40, 41, 60, 100, 200, 300])
+        body = prose(9000 + k, n, 3000).lower().split()
+        other = body[:]
+        for at in pick.sample(range(n), max(1, int(pick.uniform(0.13, 0.2) * n + 1e-9))):
+            other[at] = f"changed{at}"
+        rows += [(2 * k, " ".join(body)), (2 * k + 1, " ".join(other))]
+    docs = importable(spark).createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_duplicates.find_classes(docs).collect()}
+    assert found == classes(rows)
+    assert sum(found[2 * k] == found[2 * k + 1] for k in range(300)) > 290

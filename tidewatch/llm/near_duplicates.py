@@ -5,8 +5,11 @@ Documents are sequences of words (parted by ASCII white space, ASCII case ignore
 k-mers under one hash function and keeps them in the order of the text: sketches agree for texts
 that are alike in content and in order. Two documents are near-duplicates if their edit similarity,
 1 - distance / length of the longer, is at least 0.8; only distances within that band are computed.
-With 32 sketches of two 5-mers, a pair whose 5-mers have a Jaccard similarity of 0.8 is missed as a
-candidate with probability 1e-14, of 0.5 with 1e-4. Every pair with a common key is decided.
+At similarity 0.8 with words replaced at random, 3-mers have a Jaccard similarity of 0.34: a pair is
+missed as a candidate by all of 96 sketches of two 3-mers with probability 6e-6; with every fifth
+word replaced, Jaccard 0.25, with 0.2 %. Those are the only links that can be lost: texts of at most
+`SHORT` words have keys that miss none (see `short_keys`), and every pair of documents with a common
+key is decided.
 
 Exact copies are folded into their least id first, so copies are never paired. Each group of equal
 keys then is compared with its least document, its pivot. That leaves groups that hold documents of
@@ -35,7 +38,9 @@ from tidewatch.llm.blocks import id_and_text
 from tidewatch.llm.hashing import mixed, word_hashes
 from tidewatch.session import checkpointed
 
-K, L, SKETCHES = 5, 2, 32
+K, L, SKETCHES = 3, 2, 96
+#: Words up to which a text has `short_keys`; from 0.8 times that on it has sketches.
+SHORT = 40
 #: Counts of hashed words that bound a distance, and documents of a block.
 BINS, BLOCK = 256, 512
 _SEEDS = np.random.default_rng(17).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -84,6 +89,30 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def short_keys(words: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a short text of which two texts of that edit similarity share one.
+
+    With at most d edits and n words in the longer, they share n - 1 - 2 d word pairs, labelled with
+    their occurrence; so the first ones of both in any order, here that of the hashes, have one in
+    common, if as many are taken as a text can lack, plus one.
+    """
+    n = len(words)
+    most = int((1 - similarity) * n + 1e-9)
+    if n < 2 or int((1 - similarity) * (n / similarity) + 1e-9) == 0:
+        return mixed(np.array([sum((int(w) * (i + 1) for i, w in enumerate(words)), n) % (1 << 64)], np.uint64))
+    return np.sort(_labelled(mixed(words[:-1] * np.uint64(0x100000001B3) + words[1:])))[: 2 * most + 2]
+
+
+def keys_of(words: np.ndarray, similarity: float) -> np.ndarray:
+    """The keys of a text of at least one word."""
+    found = []
+    if len(words) <= SHORT:
+        found.append(mixed(short_keys(words, similarity) ^ np.uint64(len(_SEEDS))))
+    if len(words) >= similarity * SHORT:
+        found.append(mixed(sketches(words) ^ _SEEDS))
+    return np.unique(np.concatenate(found))
+
+
 def word_counts(words: np.ndarray) -> bytes:
     """How many words have each hash below `BINS`, at most 255. An edit changes two counts by one."""
     return np.minimum(np.bincount((words & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
@@ -270,7 +299,7 @@ def find_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
                 _, words = word_hashes(np.frombuffer(text, np.uint8), ignore_case=True)
                 if len(words):
                     ids.append(doc_id)
-                    found.append(np.unique(mixed(sketches(words) ^ _SEEDS)))
+                    found.append(keys_of(words, similarity))
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
