@@ -141,6 +141,29 @@ def test_contaminated_odd_documents(odd, none, spark):
     assert decontaminate.find_contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_documents_shorter_than_an_item(spark):
+    """A document of fewer words than an item is compared with it as a whole."""
+    items = [(1, prose(900, 100)), (2, prose(901, 40)), (3, prose(902, 6))]
+    rows = []
+    for item_id, text in items:
+        words = text.split()
+        for cut in range(min(len(words), 25)):
+            rows += [(len(rows), " ".join(words[: len(words) - cut])), (len(rows) + 1, " ".join(words[cut:])), (len(rows) + 2, " ".join([*words[: 20 - cut], *words[20:]]))]
+    expected = []
+    for doc_id, text in rows:
+        doc, n = shingles(text)
+        for item_id, item in items:
+            own, size = shingles(item)
+            common = sum((Counter(doc) & Counter(own)).values())
+            if n < size and common / (len(doc) + len(own) - common) >= 0.8:
+                expected.append((doc_id, item_id, round(common / (len(doc) + len(own) - common), 9), 0, n))
+    docs = importable(spark).createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.find_contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    sizes = {item_id: shingles(item)[1] for item_id, item in items}
+    shorter = [(r.doc_id, r.item_id, round(r.similarity, 9), r.start_word, r.n_words) for r in found if r.n_words < sizes[r.item_id]]
+    assert sorted(shorter) == sorted(expected) and len(expected) > 40
+
+
 def test_native_plans(odd, spark):
     _, docs = odd
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")

@@ -2,12 +2,13 @@
 
 A shingle is five words; words are runs of letters and digits, lower-cased. A document window as
 long as a benchmark item (in words) matches it if the weighted Jaccard similarity of their shingles,
-weights being counts, is at least 0.8.
+weights being counts, is at least 0.8. A document of fewer words than the item is one window.
 
 1. Windows. A window of that similarity shares at least 8/9 of its shingles with the item; moved on
    to the first of them (or to the document's end) it is no less similar. So only windows that begin
    at a shingle of an item of that length, or at the last place that holds the window, and that hold
-   enough such shingles are formed. No similar window is lost.
+   enough such shingles are formed. No similar window is lost. A shorter document is formed whole, for
+   the items of each length, if it has that share of their shingles.
 2. Fingerprints. Each window and item gets a 64-bit SimHash of its shingles.
 3. Multi-index search. Fingerprints are cut into 8 blocks of 8 bits. Two fingerprints that differ in
    at most 23 bits differ in at most 2 bits within some block, so items are listed under every value
@@ -71,7 +72,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
 
     One row a pair: the most similar window, the first of equals.
     """
-    share = 2 * similarity / (1 + similarity)  # of a window's shingles, at that similarity
+    share = similarity / (1 + similarity)  # of a window's and an item's shingles, in common at that similarity
     texts = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"
     )
@@ -81,12 +82,14 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
         known = F.broadcast(known)
 
     places = _with_shingles(texts).select("doc_id", "text_key", "n", F.posexplode_outer("shingles").alias("place", "shingle"))
-    hits = places.join(known, "shingle").where(F.col("n") >= F.col("length"))
+    enough = F.col("n") - WORDS + 1 >= F.lit(similarity) * (F.col("length") - WORDS + 1) - 1e-9
+    hits = places.join(known, "shingle").where(enough)
     hits = hits.groupBy("doc_id", "text_key", "n", "length").agg(F.sort_array(F.collect_set("place")).alias("p"))
-    hits = hits.withColumn("t", F.ceil(F.lit(share) * (F.col("length") - WORDS + 1) - 1e-9).cast("int"))
+    hits = hits.withColumn("t", F.ceil(F.lit(share) * (F.least("n", "length") + F.col("length") - 2 * (WORDS - 1)) - 1e-9).cast("int"))
     begin = f"filter(p, (x, i) -> x <= n - length AND get(p, i + t - 1) <= x + length - {WORDS})"
     last = "if(size(p) >= t AND p[size(p) - t] >= n - length, array(n - length), array())"
-    hits = hits.withColumn("starts", F.expr(f"array_distinct(concat({begin}, {last}))")).where("size(starts) > 0")
+    whole = "if(size(p) >= t, array(0), array())"
+    hits = hits.withColumn("starts", F.expr(f"if(n < length, {whole}, array_distinct(concat({begin}, {last})))")).where("size(starts) > 0")
 
     held = _with_shingles(texts.join(hits.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "left_semi"))
     held = held.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "shingles")
@@ -109,11 +112,11 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     first = f"array_position(zip_with(print, item_print, (x, y) -> bit_count(x ^ y) <= {RADIUS // BLOCKS}), true) - 1"
     pairs = pairs.where(F.expr(f"block = {first}")).withColumn("similarity", _similarity())
     best = pairs.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("back"), "length")).alias("best")
+        F.max(F.struct("similarity", (-F.col("start")).alias("back"), (F.size("window") + WORDS - 1).alias("n_words"))).alias("best")
     )
     return best.select(
         "doc_id", "item_id", F.col("best.similarity").alias("similarity"),
-        (-F.col("best.back")).cast("long").alias("start_word"), F.col("best.length").cast("long").alias("n_words"),
+        (-F.col("best.back")).cast("long").alias("start_word"), F.col("best.n_words").cast("long").alias("n_words"),
     )
 
 
