@@ -1,0 +1,209 @@
+"""Repair of conversations against exhaustive search, plain Python and the SQL twin, on odd conversations."""
+
+import hashlib
+import heapq
+import itertools
+import random
+import zlib
+
+import duckdb
+import pytest
+
+from tidewatch.llm import conversation_repair as repair
+from tidewatch.llm.queries import QUERIES, SQL, importable
+
+BLANKS = " \t\n\x0b\x0c\r"
+COLUMNS = "conv_id long, turn long, role string, text string, audit string, lost boolean, seen int"
+
+
+def legal(initials):
+    rest = initials[1:] if initials[:1] == "s" else initials
+    return initials == "" or (len(rest) >= 2 and len(rest) % 2 == 0 and rest == "ua" * (len(rest) // 2))
+
+
+def brute_repair(shapes, longest=None):
+    """Least (cost, audit) over all sequences of edits, in order of cost, without any lattice."""
+    heap = [(0, "", 0, "")]
+    while heap:
+        cost, audit, i, initials = heapq.heappop(heap)
+        if i == len(shapes) and legal(initials):
+            # all sequences of this cost are still in the heap, or come from ones that cost less or are shorter
+            same, found = [(cost, audit, i, initials), *heap], [audit]
+            while same:
+                c, a, j, n = same.pop()
+                if c > cost:
+                    continue
+                if j == len(shapes) and legal(n):
+                    found.append(a)
+                same += [s for s in grown(c, a, j, n, shapes) if s[0] <= cost]
+            return cost, min(found)
+        for step in grown(cost, audit, i, initials, shapes):
+            heapq.heappush(heap, step)
+
+
+def grown(cost, audit, i, initials, shapes):
+    for turn in "ua":
+        yield cost + 5, audit + "I", i, initials + turn
+    if i < len(shapes):
+        yield cost + 2, audit + "D", i + 1, initials
+        if shapes[i][1] != "!":
+            extra = 5 if shapes[i][1] == "~" else 0
+            yield cost + extra, audit + "K", i + 1, initials + shapes[i][0]
+            for turn in "ua":
+                yield cost + extra + 1, audit + "R", i + 1, initials + turn
+
+
+def table_search(shapes, start=0, goals=(0, 3)):
+    """Least (cost, audit) by a plain table, row by row."""
+    after = {0: ("u", 2), 1: ("u", 2), 2: ("a", 3), 3: ("u", 2)}
+    ways = {start: (0, "")}
+
+    def inserted(ways):
+        for _ in range(4):
+            for state, (cost, audit) in list(ways.items()):
+                then = after[state][1]
+                ways[then] = min(ways.get(then, (9**9, "")), (cost + 5, audit + "I"))
+        return ways
+
+    for initial, mark in shapes:
+        out = {}
+        for state, (cost, audit) in inserted(ways).items():
+            steps = [(state, 2, "D")]
+            if mark != "!":
+                extra = 5 if mark == "~" else 0
+                steps.append((after[state][1], extra + 1, "R"))
+                if initial == after[state][0]:
+                    steps.append((after[state][1], extra, "K"))
+                if initial == "s" and state == 0:
+                    steps.append((1, extra, "K"))
+            for then, price, letter in steps:
+                out[then] = min(out.get(then, (9**9, "")), (cost + price, audit + letter))
+        ways = out
+    return min((inserted(ways)[g] for g in goals if g in ways), default=None)
+
+
+def test_every_short_conversation():
+    shapes = ["u ", "a ", "s ", "- ", "u~", "a~", "u!"]
+    for n in range(4):
+        for rows in itertools.product(shapes, repeat=n):
+            assert repair.cheapest(rows) == brute_repair(rows), rows
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_long_conversations_against_a_table(seed):
+    pick = random.Random(seed)
+    for n in (5, 20, 60, 200):
+        rows = tuple(pick.choice("uuaas-") + pick.choice("    ~!") for _ in range(n))
+        assert repair.cheapest(rows) == table_search(rows)
+        for start, goal in itertools.product(range(4), repeat=2):
+            assert repair.cheapest(rows[:12], start, (goal,)) == table_search(rows[:12], start, (goal,))
+
+
+def brute(rows):
+    """Expected report by conversation; `rows`: (conv_id, turn, role, text) before damage."""
+    out = {}
+    for conv_id in {r[0] for r in rows}:
+        live = []
+        for _, turn, role, text in (r for r in rows if r[0] == conv_id):
+            kind = zlib.crc32(f"{' ' if conv_id is None else conv_id}:{' ' if turn is None else turn}".encode()) % 20
+            role, text = " " if role is None else role, " " if text is None else text
+            text = "" if kind == 1 else "".join(c for c in text if c not in ".!?") if kind == 2 else text
+            role = "user" if kind == 4 else role
+            live += [(turn is not None, turn or 0, role, text)] * {0: 0, 3: 2}.get(kind, 1)
+        live.sort(key=lambda r: (r[0], r[1], r[2].encode(), r[3].encode()))
+        seen, shapes, counts = set(), [], {"!": 0, "!d": 0, "~": 0}
+        for _, _, role, text in live:
+            bare = text.rstrip(BLANKS)
+            fault = "!" if not bare else "!d" if (role, text) in seen else "~" if bare[-1] not in ".!?" else " "
+            seen.add((role, text))
+            if fault != " ":
+                counts[fault] += 1
+            shapes.append((role[:1] if role[:1] in ("s", "u", "a") else "-") + fault[0])
+        turns = {r[1] for r in live if r[0]}
+        initials = [r[2][:1] for r in live]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        cost, audit = table_search(shapes)
+        kept, rest, expected = [], list(live), None
+        for letter in audit:
+            row = rest.pop(0) if letter != "I" else None
+            if letter == "D":
+                continue
+            expected = "assistant" if kept and kept[-1][0] == "u" else "user"
+            kept.append(f"{row[2] if letter == 'K' else expected}:{row[3] if row else ''}")
+        digest = hashlib.sha256("\n".join(kept).encode()).hexdigest()
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        out[conv_id] = (gaps, counts["!"], counts["!d"], counts["~"], illegal, cost, audit, digest)
+    return out
+
+
+def odd_conversations():
+    pick = random.Random(5)
+    texts = ["Hello there.", "Yes!", "What?", "no end", "", " \n", None, "ends. \t", "é…", "dots... ", "a\nb.", "x" * 5000 + "."]
+    rows = []
+    for conv_id in [*range(60), None, -7]:
+        turns = pick.choice([range(8), range(0, 20, 3), [0, 0, 1, 1, 2], [None, None, 1], [5], range(-3, 4), [None]])
+        rows += [(conv_id, t, pick.choice(["user", "assistant", "system", "tool", "", None, "User", "u"]), pick.choice(texts)) for t in turns]
+    rows += rows[:9]  # repeated rows
+    rows += [(500, t, "user" if t % 2 else "assistant", f"turn {t % 700}.") for t in range(2600)]  # longer than two chunks
+    return rows
+
+
+@pytest.fixture(scope="module")
+def conversations(spark):
+    rows = odd_conversations()
+    return rows, importable(spark).createDataFrame([(*r, "x", True, 3) for r in rows], COLUMNS).repartition(6)
+
+
+def test_against_plain_python(conversations):
+    rows, table = conversations
+    found = repair.repair(repair.damaged(table), repair.F.col("lost")).collect()
+    assert {r["conv_id"]: tuple(r)[1:] for r in found} == brute(rows)
+    assert len(found) == len({r[0] for r in rows})
+
+
+def test_repaired_turns_have_the_hash(conversations):
+    _, table = conversations
+    damaged = repair.damaged(table)
+    lost = repair.F.col("lost")
+    reports = repair.repair(damaged, lost)
+    turns = {}
+    for r in sorted(repair.repaired_turns(damaged, reports, lost).collect(), key=lambda r: r["place"]):
+        turns.setdefault(r["conv_id"], []).append(r)
+    for report in reports.collect():
+        kept = turns.get(report["conv_id"], [])
+        text = "\n".join(f"{r['role']}:{r['text']}" for r in kept)
+        assert hashlib.sha256(text.encode()).hexdigest() == report["repaired_sha256"]
+        assert "".join(r["edit"] for r in kept) == report["audit"].replace("D", "")
+        assert legal("".join(r["role"][0] for r in kept))
+
+
+def test_chunks_do_not_change_the_answer(monkeypatch):
+    pick = random.Random(3)
+    rows = [(t, pick.choice([b"user", b"assistant", b"system", b"x"]), b"t%d" % t, pick.choice([0, 0, 0, 1, 2, 3])) for t in range(40)]
+
+    def report(chunk):
+        monkeypatch.setattr(repair, "CHUNK", chunk)
+        conversation = repair._Conversation(1)
+        for row in rows:
+            conversation.add(*row)
+        return conversation.report()
+
+    assert report(3) == report(7) == report(1000)
+
+
+def test_empty_table(spark):
+    empty = importable(spark).createDataFrame([], COLUMNS)
+    assert repair.repair(empty).collect() == []
+    assert repair.repaired_turns(empty, repair.repair(empty)).collect() == []
+
+
+def test_query_and_twin(spark, tmp_path):
+    rows = odd_conversations()[:-2600]
+    path = str(tmp_path / "conversations.parquet")
+    importable(spark).createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    found = QUERIES["op13_repaired_conversations"](spark, str(tmp_path))
+    expected = con.sql(SQL["op13_repaired_conversations"])
+    assert found.columns == expected.columns
+    assert {r["conv_id"]: tuple(r)[1:] for r in found.collect()} == brute(rows) == {r[0]: r[1:] for r in expected.fetchall()}

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import (
-    bpe, decontaminate, line_rules, near_duplicates, quality, run_index, token_counts, token_files, toxicity, word_automaton,
+    bpe, conversation_repair, decontaminate, hard_negatives, line_rules, near_duplicates, quality, run_index, token_counts,
+    token_files, toxicity, warc, word_automaton,
 )
 from tidewatch.session import scratch_path
 
@@ -114,3 +115,25 @@ def op9(spark, sf_dir):
 @query("op10_bpe_round_trip")
 def op10(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), with_texts=False)
+
+
+@query("op11_hard_negatives", hard_negatives.SQL)
+def op11(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", shifted.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op12_page_archives", warc.SQL)
+def op12(spark, sf_dir):
+    folder = scratch_path(spark, "archives")
+    ranges = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    found = warc.read_archives(ranges, f"{folder}/members")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_repaired_conversations", conversation_repair.SQL)
+def op13(spark, sf_dir):
+    rows = conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.repair(rows, F.col("lost"))

@@ -61,6 +61,10 @@ class Folder:
                 out.write(part)
         os.replace(draft, path) if self.mounted else self.fs.move(draft, path)
 
+    def open(self, name: str):
+        """A file, open for reading from any offset."""
+        return open(f"{self.path}/{name}", "rb") if self.mounted else self.fs.open_input_file(f"{self.path}/{name}")
+
     def array(self, name: str, kind: str) -> np.ndarray:
         """A file as an array, mapped into memory where the folder is mounted."""
         path = f"{self.path}/{name}"
