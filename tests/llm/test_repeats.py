@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from conftest import prose, table  # noqa: F401
 
-from tidewatch.llm import passages, run_index, word_automaton
+from tidewatch.llm import hashing, passages, run_index, word_automaton
 
 
 def words_left(rows):
@@ -131,3 +131,41 @@ def test_runs_own_every_window_once():
     windows = [w for a, b in zip(begins, behind) for w in range(a, b)]
     assert windows == [w for a, b in zip(starts, ends) for w in range(a, b - 34)]
     assert all(starts[d] <= a and b + 34 <= ends[d] for a, b, d in zip(begins, behind, doc))
+
+
+def test_slices_do_not_change_the_runs(monkeypatch):
+    """Runs and passage hashes of whole arrays and of small slices, runs longer than a slice included."""
+    pick = random.Random(8)
+    texts = [b"", b"a" * 900, bytes(pick.choice(b"abc ") for _ in range(3000)), b"xy" * 400, b"short", b"a" * 70]
+    scheme = run_index.EarlierBytes()
+    values, starts, ends = scheme.symbols(texts)
+
+    def found():
+        runs = passages.owned_runs(values, scheme.span, scheme.window, starts, ends, scheme.grams)
+        return [*runs, passages.range_hashes(values, runs[1], runs[2] + scheme.window - 1, scheme.plain)]
+
+    whole = found()
+    for size in (1, 7, 64, 300):
+        monkeypatch.setattr(passages, "SLICE", size)
+        assert all((a == b).all() for a, b in zip(whole, found(), strict=True))
+
+
+def test_long_words(spark):
+    """Words of many kilobytes differ by the order of far parts; equal ones still repeat."""
+    parts = ["".join(random.Random(k).choice("abcdef") for _ in range(4096)) for k in range(3)]
+    one, other = "".join(parts), "".join(parts[::-1])
+    swapped = parts[0][:10] + parts[1][10] + parts[0][11:] + parts[1][:10] + parts[0][10] + parts[1][11:]
+    around = prose(77, 40)
+    rows = [(k, around + " " + w) for k, w in enumerate([one, other, parts[0] + parts[1], swapped, one])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = word_automaton.remove_repeated_words(docs).collect()
+    assert sorted((r[0], r[1], r[2], bytes(r[3])) for r in found) == sorted(words_left(rows))
+
+
+@pytest.mark.parametrize("ignore_case", [False, True])
+def test_word_hashes_in_slices(monkeypatch, ignore_case):
+    raw = np.frombuffer((prose(5, 3000) + " " + "z" * 9000 + "\n\n " + prose(6, 500)).encode(), np.uint8)
+    whole = hashing.word_hashes(raw, ignore_case)
+    for size in (1, 50, 4097):
+        monkeypatch.setattr(hashing, "SLICE", size)
+        assert all((a == b).all() for a, b in zip(whole, hashing.word_hashes(raw, ignore_case), strict=True))

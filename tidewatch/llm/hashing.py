@@ -25,11 +25,31 @@ _VALUES = {case: _byte_values(case) for case in (False, True)}
 _POWERS = np.random.default_rng(12).integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
 
 
+SLICE = 1 << 18  # bytes for which 64-bit numbers are held at a time
+
+
 def word_hashes(raw: np.ndarray, ignore_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of some bytes begin, and a 64-bit hash of each word.
 
-    Words are parted by ASCII white space; `ignore_case` holds for ASCII letters.
+    Words are parted by ASCII white space; `ignore_case` holds for ASCII letters. The bytes are taken in
+    slices that end at white space.
     """
+    if len(raw) <= SLICE:
+        return _word_hashes(raw, ignore_case)
+    begins, words, at = [], [], 0
+    while at < len(raw):
+        end = at + SLICE
+        while end < len(raw) and not len(blank := np.flatnonzero(_VALUES[False][raw[end : end + 4096]] == 0)):
+            end += 4096
+        end = min(end, len(raw)) if end >= len(raw) else end + int(blank[0])
+        begin, found = _word_hashes(raw[at:end], ignore_case)
+        begins.append(begin + at)
+        words.append(found)
+        at = end
+    return np.concatenate(begins), np.concatenate(words)
+
+
+def _word_hashes(raw: np.ndarray, ignore_case: bool) -> tuple[np.ndarray, np.ndarray]:
     values = _VALUES[ignore_case][raw]
     inside = values != 0
     begins = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
@@ -39,4 +59,7 @@ def word_hashes(raw: np.ndarray, ignore_case: bool = False) -> tuple[np.ndarray,
     sizes = np.diff(np.append(begins, len(raw)))
     place = np.arange(begins[0], len(raw)) - np.repeat(begins, sizes)
     values[begins[0] :] *= _POWERS[place & 4095]
+    far = np.flatnonzero(place >= 4096)  # places in long words get factors of their own
+    if len(far):
+        values[begins[0] + far] = _VALUES[ignore_case][raw[begins[0] + far]] * (mixed(place[far].astype(np.uint64)) | np.uint64(1))
     return begins, mixed(np.add.reduceat(values, begins) + (ends - begins).astype(np.uint64))

@@ -31,6 +31,7 @@ from tidewatch.llm.blocks import documents_of, dump, load, pack, shuffle_partiti
 from tidewatch.llm.hashing import mixed
 
 BLOCK_BYTES = 4 << 20
+SLICE = 1 << 18  # symbols for which 64-bit numbers are held at a time
 SHARDS_PER_PARTITION = 2  # a task holds one shard's reference at a time
 REPEATED, WANTED = 1, 2
 _BASE = 0x9E3779B97F4A7C15
@@ -40,49 +41,76 @@ _ANSWER = StructType(
 
 
 @lru_cache(maxsize=2)
-def _powers(n: int, base: int) -> np.ndarray:
-    powers = np.full(n, base, np.uint64)
+def _powers(base: int) -> np.ndarray:
+    powers = np.full(SLICE + 1, base, np.uint64)
     powers[0] = 1
     return np.multiply.accumulate(powers)
 
 
-def range_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ranges of some 64-bit numbers."""
-    size = 1 << max(10, int(len(values)).bit_length())
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(size, _BASE)[: len(values)], out=sums[1:])
-    back = _powers(size, pow(_BASE, -1, 1 << 64))
-    return mixed((sums[ends] - sums[begins]) * back[begins] + (ends - begins).astype(np.uint64))
+def range_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, plain=lambda values: values) -> np.ndarray:
+    """64-bit hashes of ranges of some symbols, `plain` of which are 64-bit numbers.
 
+    Begins and ends both ascend; the symbols are taken in slices of at most `SLICE`.
+    """
+    powers, back, modulus = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64)), 1 << 64
+    found = np.empty(len(begins), np.uint64)
+    at = 0
+    while at < len(begins):
+        low = int(begins[at])
+        behind = int(np.searchsorted(ends, low + SLICE, "right"))
+        if behind > at:
+            part = plain(values[low : int(ends[behind - 1])])
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * powers[: len(part)], out=sums[1:])
+            begin, end = begins[at:behind] - low, ends[at:behind] - low
+            found[at:behind] = (sums[end] - sums[begin]) * back[begin]
+        else:  # one range longer than a slice
+            behind, total = at + 1, 0
+            for place in range(low, int(ends[at]), SLICE):
+                part = plain(values[place : min(place + SLICE, int(ends[at]))])
+                total += int((part * powers[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, place - low, modulus)
+            found[at] = total % modulus
+        at = behind
+    return mixed(found + (ends - begins).astype(np.uint64))
+
+
+def _sliding_least(values: np.ndarray, span: int) -> np.ndarray:
+    """The least of every `span` neighbouring values."""
+    least, width = values, 1
+    while width * 2 <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    return np.minimum(least[: len(least) - (span - width)], least[span - width :]) if width < span else least
 
-def owned_runs(grams: np.ndarray, span: int, window: int, starts: np.ndarray, ends: np.ndarray):
+
+def owned_runs(values: np.ndarray, span: int, window: int, starts: np.ndarray, ends: np.ndarray, grams=lambda values: values):
     """Runs of windows with one least k-gram: anchors, first and behind-last window, and document.
 
-    `grams` holds a hash for every k-gram, a window holds `span` of them; documents are the symbols
-    from `starts` to `ends`.
+    `grams` gives a hash for every k-gram of some symbols, a window holds `span` of them; documents are
+    the symbols from `starts` to `ends`. Windows are taken in slices; runs go on from one to the next.
     """
-    count = len(grams) - span + 1
+    count = len(values) - window + 1
     empty = np.zeros(0, np.int64)
     if count <= 0:
         return np.zeros(0, np.uint64), empty, empty, empty
-    least, width = grams, 1
-    while width * 2 <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < span:
-        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    least = least[:count]
-    new = np.empty(count, bool)
-    new[0] = True
-    np.not_equal(least[1:], least[:-1], out=new[1:])
-    new[starts[(starts < count) & (ends > starts)]] = True
-    begins = np.flatnonzero(new)
+    opened = starts[(starts < count) & (ends > starts)]
+    anchors, begins, last = [], [], None
+    for low in range(0, count, SLICE):
+        high = min(low + SLICE, count)
+        least = _sliding_least(grams(values[low : high + window - 1]), span)[: high - low]
+        new = np.empty(high - low, bool)
+        new[0] = last is None or least[0] != last
+        np.not_equal(least[1:], least[:-1], out=new[1:])
+        new[opened[np.searchsorted(opened, low) : np.searchsorted(opened, high)] - low] = True
+        at, last = np.flatnonzero(new), least[-1]
+        anchors.append(least[at])
+        begins.append(at + low)
+    anchors, begins = np.concatenate(anchors), np.concatenate(begins)
     behind = np.append(begins[1:], count)
     doc = np.searchsorted(ends, begins, side="right")
     behind = np.minimum(behind, ends[doc] - window + 1)
     kept = behind > begins
-    begins, behind, doc = begins[kept], behind[kept], doc[kept]
-    return least[begins], begins, behind, doc
+    return anchors[kept], begins[kept], behind[kept], doc[kept]
 
 
 class Block:
@@ -91,11 +119,12 @@ class Block:
     def __init__(self, scheme: Scheme, payload, shards: int):
         self.ids, self.texts = documents_of(payload)
         self.values, self.starts, self.ends = scheme.symbols(self.texts)
-        grams = scheme.grams(self.values)
-        anchors, self.begins, self.behind, self.doc = owned_runs(grams, scheme.span, scheme.window, self.starts, self.ends)
+        anchors, self.begins, self.behind, self.doc = owned_runs(
+            self.values, scheme.span, scheme.window, self.starts, self.ends, scheme.grams
+        )
         stops = self.behind + scheme.window - 1
-        passages = range_hashes(scheme.plain(self.values), self.begins, stops) >> np.uint64(16)
-        again = scheme.repeats_within(grams, anchors, self.begins, self.behind)
+        passages = range_hashes(self.values, self.begins, stops, scheme.plain) >> np.uint64(16)
+        again = scheme.repeats_within(self.values, anchors, self.begins, self.behind)
         order = np.lexsort((self.ids[self.doc], passages, anchors))
         new = np.ones(len(order), bool)
         new[1:] = (anchors[order][1:] != anchors[order][:-1]) | (passages[order][1:] != passages[order][:-1])
@@ -126,7 +155,7 @@ class Block:
         change = np.zeros(len(self.values) + 1, np.int32)
         np.add.at(change, begins, 1)
         np.add.at(change, behind + self.window - 1, -1)
-        return np.cumsum(change[:-1]) > 0
+        return np.cumsum(change[:-1], out=change[:-1]) > 0
 
 
 class Scheme:
@@ -146,7 +175,7 @@ class Scheme:
         """Symbols as 64-bit numbers."""
         return values
 
-    def repeats_within(self, grams, anchors, begins, behind) -> np.ndarray:
+    def repeats_within(self, values, anchors, begins, behind) -> np.ndarray:
         """Which runs may hold a window twice, if that counts."""
         return np.zeros(len(anchors), bool)
 

@@ -20,6 +20,7 @@ from tidewatch.llm.hashing import mixed, word_hashes
 from tidewatch.llm.passages import REPEATED, WANTED, Block, Scheme, without_repeats
 
 WINDOW, GRAM = 35, 8
+_RUNS = 2048  # looked through at a time
 
 
 class Automaton:
@@ -100,8 +101,7 @@ class RepeatedWords(Scheme):
     window, span = WINDOW, WINDOW - GRAM + 1
 
     def symbols(self, texts):
-        raw = np.frombuffer(b" ".join(texts), np.uint8)
-        begins, words = word_hashes(raw)
+        begins, words = word_hashes(np.frombuffer(b" ".join(texts), np.uint8))
         ends = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))
         return words, np.concatenate([[0], ends[:-1]]), ends
 
@@ -114,12 +114,16 @@ class RepeatedWords(Scheme):
             found = found * np.uint64(0xD6E8FEB86659FD93) + values[j : n + j]
         return mixed(found)
 
-    def repeats_within(self, grams, anchors, begins, behind):
-        sizes = behind - begins + self.span - 1
-        ends = np.cumsum(sizes)
-        places = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(begins, sizes)
-        same = grams[places] == np.repeat(anchors, sizes)
-        return (np.add.reduceat(same, ends - sizes) if len(ends) else np.zeros(0)) > 1
+    def repeats_within(self, values, anchors, begins, behind):
+        grams = self.grams(values)
+        times = np.zeros(len(anchors), np.int64)
+        for at in range(0, len(anchors), _RUNS):
+            part = slice(at, at + _RUNS)
+            sizes = behind[part] - begins[part] + self.span - 1
+            ends = np.cumsum(sizes)
+            places = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(begins[part], sizes)
+            times[part] = np.add.reduceat(grams[places] == np.repeat(anchors[part], sizes), ends - sizes)
+        return times > 1
 
     def judge(self, group, passage, docs, counts, again):
         heads = np.diff(passage, prepend=-1) != 0
