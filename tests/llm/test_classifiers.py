@@ -109,3 +109,16 @@ def test_without_toxic_keeps_columns(spark, corpus, odd):
     docs, marks, _ = corpus
     _, table = odd
     assert toxicity.without_toxic(table, labels_table(spark, marks)).columns == table.columns
+
+
+def test_texts_of_one_id_are_judged_by_themselves(spark, corpus):
+    """Of an id with a toxic and a clean text the clean one stays."""
+    table, marks, _ = corpus
+    model = toxicity.fit(table, labels_table(spark, marks))
+    scored = {r.doc_id: r.predicted for r in toxicity.score(table, model).collect()}
+    texts = {r.doc_id: r.text for r in table.collect()}
+    bad, good = (next(t for d, t in sorted(texts.items()) if scored[d] == v) for v in (1, 0))
+    rows = [(-1, bad), (-1, good), (-2, bad), (-3, good)]
+    docs = table.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = [tuple(r) for r in toxicity.without_toxic(docs, labels_table(spark, marks)).where("doc_id < 0").collect()]
+    assert sorted(left) == sorted([(-1, good), (-3, good)])

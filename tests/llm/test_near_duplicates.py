@@ -74,8 +74,10 @@ def test_odd_documents(odd, none):
     assert sorted(r.doc_id for r in near_duplicates.find_classes(docs).collect()) == sorted({d for d, _ in rows})
     one = near_duplicates.one_of_each(docs)
     assert one.columns == docs.columns
-    kept = [r.doc_id for r in one.collect()]
-    assert len(set(kept)) == len(kept) and 6 in kept and 7 not in kept and 0 in kept and 1 not in kept
+    kept = [(r.doc_id, r.text) for r in one.collect()]
+    assert len(set(kept)) == len(kept) and {t for d, t in kept if d == 11} == {t for d, t in rows if d == 11}
+    kept = [d for d, _ in kept]
+    assert 6 in kept and 7 not in kept and 0 in kept and 1 not in kept
     assert near_duplicates.find_classes(none).collect() == []
 
 
@@ -135,3 +137,30 @@ def test_recall_near_the_threshold(spark):
     found = {r.doc_id: r.class_id for r in near_duplicates.find_classes(docs).collect()}
     assert found == classes(rows)
     assert sum(found[2 * k] == found[2 * k + 1] for k in range(300)) > 290
+
+
+def test_repeated_ids_lose_no_text(spark):
+    """Two texts of one id are classed each by itself; one row of each class of texts stays."""
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(11, a), (11, b), (5, b), (20, a), (30, c), (30, c), (None, a), (40, edited(a, 4, 0.06)), (40, None)]
+    docs = importable(spark).createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in near_duplicates.one_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(11, a), (5, b), (30, c), (40, None)], key=str)
+    found = {r.doc_id: (r.class_id, r.copy_of, r.kept) for r in near_duplicates.find_classes(docs).collect()}
+    assert found == {11: (5, 5, True), 5: (5, 5, True), 20: (11, 11, False), 30: (30, 30, True), 40: (11, 40, True)}
+
+
+def test_one_pivot_joins_near_copies(spark, monkeypatch):
+    """Of a large group of near copies few pairs are aligned: one a document, none twice."""
+    body, aligned = prose(70, 120, 3000), []
+    rows = [(k, edited(body, 3000 + k, 0.02)) for k in range(400)]
+    verified = near_duplicates._verified
+
+    def counted(pairs, words, similarity):
+        aligned.append(pairs.count())
+        return verified(pairs, words, similarity)
+
+    monkeypatch.setattr(near_duplicates, "_verified", counted)
+    docs = importable(spark).createDataFrame(rows, "doc_id long, text string")
+    assert {r.class_id for r in near_duplicates.find_classes(docs).collect()} == {0}
+    assert sum(aligned) <= 400

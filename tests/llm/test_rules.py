@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from conftest import prose
 
@@ -87,10 +88,10 @@ def brute_contaminated(rows, items):
             if not own:
                 continue
             best = (0, 0)
-            for start in range(n - size + 1):
+            for start in range(max(n - size, 0) + 1):  # a shorter document is one window
                 window = Counter(doc[start : start + size - 4])
                 common = sum((window & Counter(own)).values())
-                best = max(best, (common / (2 * len(own) - common), -start))
+                best = max(best, (common / (window.total() + len(own) - common), -start))
             if best[0] >= 0.8:
                 out.append((doc_id, item_id, round(best[0], 9)))
     return out
@@ -170,3 +171,33 @@ def test_native_plans(odd, spark):
     for df in (line_rules.apply_rules(docs), decontaminate.find_contaminated(docs, bench)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
+
+
+def test_texts_of_one_id_are_judged_by_themselves(spark):
+    item = prose(910, 60)
+    rows = [(1, item), (1, prose(911, 60)), (2, prose(912, 30) + " " + item), (3, prose(913, 60)), (3, prose(913, 60))]
+    docs = importable(spark).createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = [tuple(r) for r in decontaminate.without_contaminated(docs, bench).collect()]
+    assert sorted(left) == sorted([rows[1], rows[3], rows[4]])
+
+
+def test_twin_holds_short_documents(spark):
+    """The SQL twin, over documents shorter and longer than an item."""
+    items = [(1, prose(900, 100)), (2, prose(901, 40)), (3, prose(902, 6))]
+    rows = []
+    for _, text in items:
+        words = text.split()
+        rows += [(len(rows) + cut, " ".join(words[cut:] + words[: cut // 2])) for cut in range(min(20, len(words)))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    docs = importable(spark).createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.find_contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = con.sql(decontaminate.SQL).fetchall()
+    rounded = lambda table: sorted((r[0], r[1], round(r[2], 9), r[3], r[4]) for r in table)
+    assert rounded(found) == rounded(expected)
+    assert sorted((r[0], r[1], round(r[2], 9)) for r in expected) == sorted(brute_contaminated(rows, items))
+    assert any(r[4] < len(dict(items)[r[1]].split()) for r in expected)

@@ -67,14 +67,27 @@ def _similarity() -> Column:
     return F.expr(f"transform(array({common}), c -> c / (size(window) + size(item) - c))[0]")
 
 
+def _text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Pairs of a document and an item it holds: doc_id, item_id, similarity, start_word, n_words.
 
-    One row a pair: the most similar window, the first of equals.
+    One row a pair: the most similar window, the first of equals, over all texts of the id.
     """
+    best = _matching_windows(docs, benchmark, similarity).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    return best.select(
+        "doc_id", "item_id", F.col("best.similarity").alias("similarity"),
+        (-F.col("best.back")).cast("long").alias("start_word"), F.col("best.n_words").cast("long").alias("n_words"),
+    )
+
+
+def _matching_windows(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, text_key, item_id and `best` (similarity, back, n_words) of all windows that match an item."""
     share = similarity / (1 + similarity)  # of a window's and an item's shingles, in common at that similarity
     texts = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"
+        F.col("doc_id").cast("long").alias("doc_id"), _text_key("text").alias("text_key"), "text"
     )
     items = _with_shingles(benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text")).where(F.col("n") >= WORDS)
     known = items.select(F.explode("shingles").alias("shingle"), F.col("n").alias("length")).distinct()
@@ -95,7 +108,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     held = held.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "shingles")
     windows = held.join(hits.select("doc_id", "text_key", "length", "starts"), ["doc_id", "text_key"])
     windows = windows.withColumn("start", F.explode("starts")).select(
-        "doc_id", "length", "start", F.expr(f"slice(shingles, start + 1, length - {WORDS - 1})").alias("window")
+        "doc_id", "text_key", "length", "start", F.expr(f"slice(shingles, start + 1, length - {WORDS - 1})").alias("window")
     )
     windows = windows.withColumn("print", _fingerprint("window"))
 
@@ -111,22 +124,24 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     # A pair found under several blocks is verified once: under the first block that lists it.
     first = f"array_position(zip_with(print, item_print, (x, y) -> bit_count(x ^ y) <= {RADIUS // BLOCKS}), true) - 1"
     pairs = pairs.where(F.expr(f"block = {first}")).withColumn("similarity", _similarity())
-    best = pairs.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("back"), (F.size("window") + WORDS - 1).alias("n_words"))).alias("best")
-    )
-    return best.select(
-        "doc_id", "item_id", F.col("best.similarity").alias("similarity"),
-        (-F.col("best.back")).cast("long").alias("start_word"), F.col("best.n_words").cast("long").alias("n_words"),
-    )
+    best = F.struct("similarity", (-F.col("start")).alias("back"), (F.size("window") + WORDS - 1).alias("n_words"))
+    return pairs.where(F.col("similarity") >= similarity).select("doc_id", "text_key", "item_id", best.alias("best"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item, all columns kept."""
-    found = find_contaminated(docs, benchmark, similarity).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` whose text holds no benchmark item, all columns kept.
+
+    Every row is judged by its own text, also where an id has several.
+    """
+    found = _matching_windows(docs, benchmark, similarity).select(
+        F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")
+    ).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("rest"), F.col("doc_id").cast("long").alias("row_id"), _text_key("text").alias("row_key"))
+    clean = rows.join(found, (F.col("row_id") == F.col("hit_id")) & (F.col("row_key") == F.col("hit_key")), "left_anti")
+    return clean.select(*[F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
-#: The same result for DuckDB: every window that begins at an item's shingle, or ends the text, compared in full.
+#: The same result for DuckDB: every window that begins at an item's shingle, or ends the text, compared in full; a shorter text whole.
 SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
 dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM d),
@@ -137,14 +152,14 @@ bs AS (SELECT item_id, len(w) AS len, list_transform(range(1, len(w) - 3),
        lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]) AS s FROM bw WHERE len(w) >= 5),
 known AS (SELECT DISTINCT item_id, len, unnest(s) AS g FROM bs),
 dp AS (SELECT doc_id, n, unnest(s) AS g, unnest(range(0, len(s))) AS place FROM ds),
-c AS (SELECT DISTINCT doc_id, item_id, len, least(place, n - len) AS start FROM dp JOIN known USING (g) WHERE n >= len),
-wg AS (SELECT doc_id, item_id, len, start, unnest(ds.s[start + 1 : start + len - 4]) AS g FROM c JOIN ds USING (doc_id)),
-wc AS (SELECT doc_id, item_id, len, start, g, count(*) AS a FROM wg GROUP BY ALL),
+c AS (SELECT DISTINCT doc_id, item_id, len, least(n, len) AS size, greatest(least(place, n - len), 0) AS start FROM dp JOIN known USING (g)),
+wg AS (SELECT doc_id, item_id, len, size, start, unnest(ds.s[start + 1 : start + size - 4]) AS g FROM c JOIN ds USING (doc_id)),
+wc AS (SELECT doc_id, item_id, len, size, start, g, count(*) AS a FROM wg GROUP BY ALL),
 ig AS (SELECT item_id, unnest(s) AS g FROM bs),
 ic AS (SELECT item_id, g, count(*) AS b FROM ig GROUP BY ALL),
-m AS (SELECT doc_id, wc.item_id, len, start, sum(least(a, b)) AS common FROM wc JOIN ic ON ic.item_id = wc.item_id AND ic.g = wc.g GROUP BY ALL),
-sim AS (SELECT *, common / (2.0 * (len - 4) - common) AS similarity FROM m)
-SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CAST(start AS BIGINT) AS start_word, CAST(len AS BIGINT) AS n_words
+m AS (SELECT doc_id, wc.item_id, len, size, start, sum(least(a, b)) AS common FROM wc JOIN ic ON ic.item_id = wc.item_id AND ic.g = wc.g GROUP BY ALL),
+sim AS (SELECT *, common / (size + len - 8.0 - common) AS similarity FROM m)
+SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CAST(start AS BIGINT) AS start_word, CAST(size AS BIGINT) AS n_words
 FROM sim WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """

@@ -11,9 +11,9 @@ word replaced, Jaccard 0.25, with 0.2 %. Those are the only links that can be lo
 `SHORT` words have keys that miss none (see `short_keys`), and every pair of documents with a common
 key is decided.
 
-Exact copies are folded into their least id first, so copies are never paired. Each group of equal
-keys then is compared with its least document, its pivot. That leaves groups that hold documents of
-different components. Of those, all pairs from different components are compared, linked or not: by
+Exact copies are folded into their least id first, so copies are never paired. Each document then is
+compared with one pivot, the least of all documents that it shares a key with. That leaves groups of
+equal keys that hold documents of different components. Of those, all pairs from different components are compared, linked or not: by
 length and by a lower bound of the distance from counts of hashed words, in blocks of documents of
 like length, then those within the bound by alignment, the closest first, so that what they connect
 needs no more comparing. Classes are the connected components of all verified links.
@@ -21,7 +21,8 @@ needs no more comparing. Classes are the connected components of all verified li
 The block step is exact and grows with the square of the number of documents of like length in a
 group that are in different components, as in groups formed by a passage that many documents hold.
 
-Null and empty texts are exact copies of each other.
+Null and empty texts are exact copies of each other. Documents are told apart by id and text: texts of
+one id are classed each by itself.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.blocks import id_and_text
@@ -218,8 +219,8 @@ def _block_pairs(groups: DataFrame, labels: DataFrame, words: DataFrame, similar
     found = rows.groupBy("key").agg(
         F.count("*").alias("size"), F.expr("bit_xor(xxhash64(doc_id))").alias("set"), F.min("label").alias("lo"), F.max("label").alias("hi")
     )
-    # Pairs are compared with the pivot already; groups of the same documents need comparing once.
-    open_keys = found.where("size > 2 AND lo < hi").groupBy("size", "set").agg(F.min("key").alias("key")).select("key")
+    # Groups of the same documents need comparing once.
+    open_keys = found.where("lo < hi").groupBy("size", "set").agg(F.min("key").alias("key")).select("key")
     # Texts whose lengths differ by no more than the band are in one class of lengths or in two next ones.
     level = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
     rows = checkpointed(rows.join(open_keys, "key").join(words.select("doc_id", level.alias("level")), "doc_id"))
@@ -283,30 +284,36 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def find_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Per document: doc_id, class_id (the least id of its class), copy_of (the least id with the same
-    text) and kept (whether it is its class's document)."""
-    rows = id_and_text(docs)
-    keyed = rows.select("doc_id", F.sha2("text", 256).alias("text_key")).distinct()
+def _text_key(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _text_classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """Per distinct (doc_id, text_key): class_id, copy_of and kept. Texts are what is compared, whatever their ids."""
+    rows = id_and_text(docs).withColumn("text_key", _text_key("text"))
+    keyed = rows.select("doc_id", "text_key").distinct()
+    # Every distinct text is a node; the number is written, so it stays. From here on `doc_id` is that number.
     least = keyed.groupBy("text_key").agg(F.min("doc_id").alias("copy_of"))
-    copies = checkpointed(keyed.join(least, "text_key").groupBy("doc_id").agg(F.min("copy_of").alias("copy_of")))
-    firsts = copies.where("doc_id = copy_of").select("doc_id")
+    firsts = checkpointed(least.withColumn("node", F.monotonically_increasing_id()))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            held, found = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 _, words = word_hashes(np.frombuffer(text, np.uint8), ignore_case=True)
                 if len(words):
-                    ids.append(doc_id)
+                    held.append(i)
                     found.append(keys_of(words, similarity))
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "keys": keys})
+            held = pa.array(held, pa.int64())
+            columns = [batch.column("doc_id").take(held), batch.column("text_key").take(held), keys]
+            yield pa.RecordBatch.from_arrays(columns, ["copy_of", "text_key", "keys"])
 
-    sketched = rows.mapInArrow(sketch, "doc_id long, keys array<long>").join(firsts, "doc_id", "left_semi")
-    groups = checkpointed(_groups(sketched.select("doc_id", F.explode("keys").alias("key"))))
+    sketched = rows.mapInArrow(sketch, "copy_of long, text_key binary, keys array<long>").join(firsts, ["copy_of", "text_key"])
+    sketched = sketched.dropDuplicates(["copy_of", "text_key"])
+    groups = checkpointed(_groups(sketched.select(F.col("node").alias("doc_id"), F.explode("keys").alias("key"))))
     paired = groups.select("doc_id").distinct()
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +322,13 @@ def find_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
             columns = {"words": pa.array([w.astype("<u4").tobytes() for w in found], pa.binary()), "n": pa.array(map(len, found), pa.int64())}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **columns, "counts": pa.array(map(word_counts, found), pa.binary())})
 
-    texts = rows.join(paired, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = firsts.join(paired.withColumnRenamed("doc_id", "node"), "node", "left_semi")
+    texts = rows.join(wanted.withColumnRenamed("copy_of", "doc_id"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    texts = texts.select(F.col("node").alias("doc_id"), "text")
     words = checkpointed(texts.mapInArrow(words_of, "doc_id long, words binary, n long, counts binary"))
 
-    tested = checkpointed(groups.where("doc_id > pivot").select("doc_id", "pivot").distinct())
+    # One pivot a document joins most of each family; all that still stands apart is compared group by group.
+    tested = checkpointed(groups.where("doc_id > pivot").groupBy("doc_id").agg(F.min("pivot").alias("pivot")))
     links = checkpointed(_verified(tested, words, similarity))
     nodes = checkpointed(paired.select(F.col("doc_id").alias("node")))
     found = components(nodes, links.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
@@ -335,13 +345,33 @@ def find_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         found = components(nodes, links.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
         left = left.join(near, ["doc_id", "pivot"], "left_anti")
 
-    found = found.withColumnRenamed("node", "copy_of")
-    classes = copies.join(found, "copy_of", "left")
-    class_id = F.coalesce("label", "copy_of")
-    return classes.select("doc_id", class_id.alias("class_id"), "copy_of", (F.col("doc_id") == class_id).alias("kept"))
+    labelled = checkpointed(firsts.join(found, "node", "left").select("text_key", "copy_of", F.coalesce("label", "node").alias("label")))
+    heads = labelled.groupBy("label").agg(F.min(F.struct("copy_of", "text_key")).alias("head"))
+    of_text = labelled.join(heads, "label").select("text_key", "copy_of", "head")
+    return keyed.join(of_text, "text_key").select(
+        "doc_id", "text_key", F.col("head.copy_of").alias("class_id"), "copy_of",
+        ((F.col("doc_id") == F.col("head.copy_of")) & (F.col("text_key") == F.col("head.text_key"))).alias("kept"),
+    )
+
+
+def find_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Per document: doc_id, class_id (the least id of its class), copy_of (the least id with the same
+    text) and kept (whether it is its class's document).
+
+    An id with several texts has one row: its least class and copy, kept if any of its texts is.
+    """
+    found = _text_classes(docs, similarity).groupBy("doc_id")
+    return found.agg(F.min("class_id").alias("class_id"), F.min("copy_of").alias("copy_of"), F.bool_or("kept").alias("kept"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` that stand for their class of near-duplicates, one a class, all columns kept."""
-    kept = find_classes(docs, similarity).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of `docs` that stand for their class of near-duplicates, one a class, all columns kept.
+
+    Rows are told apart by id and text, so a repeated id loses no text that is the only one of its class.
+    """
+    kept = _text_classes(docs, similarity).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.struct(*docs.columns).alias("rest"), F.col("doc_id").cast("long").alias("row_id"), text.alias("row_text"))
+    rows = rows.withColumn("row_key", _text_key("row_text")).drop("row_text")
+    found = rows.join(kept, (F.col("row_id") == F.col("kept_id")) & (F.col("row_key") == F.col("kept_key")), "left_semi")
+    return found.dropDuplicates(["row_id", "row_key"]).select(*[F.col("rest").getField(c).alias(c) for c in docs.columns])

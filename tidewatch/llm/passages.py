@@ -32,7 +32,7 @@ from tidewatch.llm.hashing import mixed
 
 BLOCK_BYTES = 4 << 20
 SLICE = 1 << 18  # symbols for which 64-bit numbers are held at a time
-SHARDS_PER_PARTITION = 2  # a task holds one shard's reference at a time
+SHARDS_PER_PARTITION = 2  # each shard is a task of its own
 REPEATED, WANTED = 1, 2
 _BASE = 0x9E3779B97F4A7C15
 _ANSWER = StructType(
@@ -337,9 +337,9 @@ def without_repeats(docs: DataFrame, scheme: Scheme, schema: str) -> DataFrame:
     shards = SHARDS_PER_PARTITION * shuffle_partitions(docs)
     blocks = pack(docs, BLOCK_BYTES)
     entries = blocks.mapInArrow(_split(scheme, shards), _ANSWER)
-    verdicts = entries.groupBy("shard").applyInArrow(_judge(scheme), _ANSWER)
+    verdicts = entries.repartitionById(shards, "shard").groupBy("shard").applyInArrow(_judge(scheme), _ANSWER)
     by_block = verdicts.groupBy("block").agg(F.collect_list(F.struct("shard", "payload")).alias("verdicts"))
     judged = blocks.join(by_block, "block", "left")
     wanted = judged.mapInArrow(_send(scheme, shards), _ANSWER)
-    spans = wanted.groupBy("shard").applyInArrow(_search(scheme), _ANSWER)
+    spans = wanted.repartitionById(shards, "shard").groupBy("shard").applyInArrow(_search(scheme), _ANSWER)
     return judged.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_finish(scheme, shards), schema)

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewatch.llm.blocks import id_and_text
 from tidewatch.llm.hashing import mixed
@@ -248,12 +249,8 @@ def _slices(texts: list[bytes], most: int = 2 << 20) -> Iterator[list[bytes]]:
         yield part
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
-    """Per document: doc_id, held_out, score (0 to 1) and predicted (1 from `threshold` on).
-
-    Texts without a word, and all texts without a model, score 0.
-    """
-    rows = id_and_text(docs)
+def _scored(rows: DataFrame, model: Model | None, threshold: float) -> DataFrame:
+    """Score and verdict of rows with `doc_id` and `text`: doc_id, text_key, score, predicted."""
     given = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,19 +260,34 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
             if odds is not None and batch.num_rows:
                 texts = batch.column("text").to_pylist()
                 scores = np.concatenate([_text_scores(part, odds, given.value.bias) for part in _slices(texts)])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "score": pa.array(scores),
-                    "predicted": pa.array((scores >= threshold).astype(np.int32)),
-                }
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
+                ["doc_id", "text_key", "score", "predicted"],
             )
 
-    found = rows.mapInArrow(scored, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(scored, "doc_id long, text_key binary, score double, predicted int")
+
+
+def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
+    """Per document: doc_id, held_out, score (0 to 1) and predicted (1 from `threshold` on).
+
+    Texts without a word, and all texts without a model, score 0.
+    """
+    found = _scored(id_and_text(docs).withColumn("text_key", F.lit(None).cast("binary")), model, threshold)
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose text scores below `threshold`, all columns kept; rows without an id go."""
-    verdicts = score(docs, fit(docs, labels), threshold).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of `docs` whose text scores below `threshold`, all columns kept; rows without an id go.
+
+    Every row is judged by its own text, also where an id has several.
+    """
+    key = F.unhex(F.sha2("text", 256))
+    rows = id_and_text(docs).withColumn("text_key", key)
+    good = _scored(rows, fit(docs, labels), threshold).where("predicted = 0").select(
+        F.col("doc_id").alias("good_id"), F.col("text_key").alias("good_key")
+    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    given = docs.select(F.struct(*docs.columns).alias("rest"), F.col("doc_id").cast("long").alias("row_id"), F.unhex(F.sha2(text, 256)).alias("row_key"))
+    kept = given.join(good, (F.col("row_id") == F.col("good_id")) & (F.col("row_key") == F.col("good_key")), "left_semi")
+    return kept.select(*[F.col("rest").getField(c).alias(c) for c in docs.columns])
