@@ -12,8 +12,8 @@ word replaced, Jaccard 0.25, with 0.2 %. Those are the only links that can be lo
 key is decided.
 
 Exact copies are folded into their least id first, so copies are never paired. Each document then is
-compared with one pivot, the least of all documents that it shares a key with. That leaves groups of
-equal keys that hold documents of different components. Of those, all pairs from different components are compared, linked or not: by
+compared with one pivot, of the least documents of its groups of equal keys the one it shares most keys
+with; where that leaves it apart, with a second. That leaves groups of equal keys that hold documents of different components. Of those, all pairs from different components are compared, linked or not: by
 length and by a lower bound of the distance from counts of hashed words, in blocks of documents of
 like length, then those within the bound by alignment, the closest first, so that what they connect
 needs no more comparing. Classes are the connected components of all verified links.
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ from tidewatch.session import checkpointed
 K, L, SKETCHES = 3, 2, 96
 #: Words up to which a text has `short_keys`; from 0.8 times that on it has sketches.
 SHORT = 40
+PIVOT_ROUNDS = 2
 #: Counts of hashed words that bound a distance, and documents of a block.
 BINS, BLOCK = 256, 512
 _SEEDS = np.random.default_rng(17).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -173,27 +175,72 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.join(pivots.where("pivot < last").select("key", "pivot"), "key")
 
 
+def _best_pivots(groups: DataFrame, labels: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """(doc_id, pivot): for each document the pivot it shares most keys with, the least of equals, among
+    those of other components (`labels`: node, label). Pairs in `tested` are known to be unlike or linked."""
+    if tested is None:
+        pairs = groups.where("doc_id > pivot").select("doc_id", "pivot")
+    else:
+        rows = groups.select("key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id")
+        heads = rows.groupBy("key").agg(F.min(F.struct("doc_id", "label")).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        heads = heads.where("lo < hi").select("key", F.col("head.doc_id").alias("pivot"), F.col("head.label").alias("other"))
+        pairs = rows.join(heads, "key").where("label != other").select("doc_id", "pivot")
+    pairs = pairs.groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    if tested is not None:
+        pairs = pairs.join(tested, ["doc_id", "pivot"], "left_anti")
+    best = pairs.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("back"))).alias("best"))
+    return best.select("doc_id", (-F.col("best.back")).alias("pivot"))
+
+
+def _meet_before(key: int, keys: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Which members of two blocks share a key below `key`; `keys` has each side's member ends and sorted keys."""
+    sides = []
+    for ends, flat in keys:
+        owner = np.searchsorted(ends, np.arange(len(flat)), "right")
+        below = flat < key
+        sides.append((len(ends), owner[below], flat[below]))
+    met = np.zeros((sides[0][0], sides[1][0]), bool)
+    common = np.intersect1d(sides[0][2], sides[1][2])
+    for begun in range(0, len(common), 2048):
+        part, held = common[begun : begun + 2048], []
+        for n, owner, flat in sides:
+            at = np.searchsorted(part, flat)
+            known = part[np.minimum(at, len(part) - 1)] == flat
+            held.append(np.zeros((n, len(part)), np.float32))
+            held[-1][owner[known], at[known]] = 1
+        met |= held[0] @ held[1].T > 0
+    return met
+
+
 def _within_bound(blocks: DataFrame, similarity: float) -> DataFrame:
     """(doc_id, pivot, bound): the pairs of different components in two blocks, or in one, whose edit
-    distance can be within the band, and its lower bound as a share of the longer."""
+    distance can be within the band, and its lower bound as a share of the longer.
+
+    Pairs with several keys in common are compared under the least of them.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, others, bounds = [], [], []
             for row in range(batch.num_rows):
-                side = []
+                side, keys = [], []
                 for name in ("", "other_"):
                     column = batch.column(name + "members")
                     members = column.values.slice(column.offsets[row].as_py(), column.offsets[row + 1].as_py() - column.offsets[row].as_py())
                     ids, labels, sizes = (members.field(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "label", "n"))
                     counts = np.frombuffer(b"".join(members.field("counts").to_pylist()), np.uint8).reshape(-1, BINS)
+                    lists = members.field("keys")
                     side.append((ids, labels, sizes, counts, counts.sum(axis=1, dtype=np.int64)))
+                    keys.append((np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()))
                 (ids, labels, sizes, counts, sums), (ids2, labels2, sizes2, counts2, sums2) = side
+                if min(labels.min(), labels2.min()) == max(labels.max(), labels2.max()):
+                    continue
                 same = batch.column("same")[row].as_py()
-                for i in range(len(ids)):
+                apart = ~_meet_before(batch.column("key")[row].as_py(), keys)
+                for i in np.flatnonzero(apart.any(axis=1)).tolist():
                     longer = np.maximum(sizes2, sizes[i])
                     most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
-                    at = (labels2 != labels[i]) & (np.abs(sizes2 - sizes[i]) <= most)
+                    at = apart[i] & (labels2 != labels[i]) & (np.abs(sizes2 - sizes[i]) <= most)
                     if same:
                         at &= ids2 > ids[i]
                     at = np.flatnonzero(at)
@@ -213,7 +260,7 @@ def _within_bound(blocks: DataFrame, similarity: float) -> DataFrame:
 
 
 def _block_pairs(groups: DataFrame, labels: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """(members, other_members, same): blocks of documents of one group, of which some pair may be alike
+    """(key, members, other_members, same): blocks of documents of one group, of which some pair may be alike
     and is in different components `labels` (doc_id, label). Every such pair is in some row."""
     rows = groups.select("key", "doc_id").join(labels, "doc_id")
     found = rows.groupBy("key").agg(
@@ -228,9 +275,10 @@ def _block_pairs(groups: DataFrame, labels: DataFrame, words: DataFrame, similar
     below = sizes.select("key", (F.col("level") + 1).alias("level"), F.col("blocks").alias("blocks_below"))
     sizes = sizes.join(below, ["key", "level"], "left")
     rows = rows.join(sizes, ["key", "level"]).withColumn("block", F.expr("pmod(xxhash64(doc_id, 5), blocks)").cast("int"))
-    rows = rows.join(words.select("doc_id", "n", "counts"), "doc_id")
+    keys = rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    rows = rows.join(words.select("doc_id", "n", "counts"), "doc_id").join(keys, "doc_id")
     blocks = rows.groupBy("key", "level", "block").agg(
-        F.collect_list(F.struct("doc_id", "label", "n", "counts")).alias("members"), F.first("blocks").alias("blocks"), F.first("blocks_below").alias("below")
+        F.collect_list(F.struct("doc_id", "label", "n", "counts", "keys")).alias("members"), F.first("blocks").alias("blocks"), F.first("blocks_below").alias("below")
     )
     blocks = checkpointed(blocks)
     meets = (
@@ -241,7 +289,7 @@ def _block_pairs(groups: DataFrame, labels: DataFrame, words: DataFrame, similar
     others = others.select("key", "at.level", "at.block", "own", "own_block", "other_members")
     pairs = blocks.select("key", "level", "block", "members").join(others, ["key", "level", "block"])
     same = (F.col("own") == F.col("level")) & (F.col("own_block") == F.col("block"))
-    return pairs.select("members", "other_members", same.alias("same")).where("NOT same OR size(members) > 1")
+    return pairs.select("key", "members", "other_members", same.alias("same")).where("NOT same OR size(members) > 1")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -327,21 +375,27 @@ def _text_classes(docs: DataFrame, similarity: float) -> DataFrame:
     texts = texts.select(F.col("node").alias("doc_id"), "text")
     words = checkpointed(texts.mapInArrow(words_of, "doc_id long, words binary, n long, counts binary"))
 
-    # One pivot a document joins most of each family; all that still stands apart is compared group by group.
-    tested = checkpointed(groups.where("doc_id > pivot").groupBy("doc_id").agg(F.min("pivot").alias("pivot")))
-    links = checkpointed(_verified(tested, words, similarity))
     nodes = checkpointed(paired.select(F.col("doc_id").alias("node")))
-    found = components(nodes, links.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+    links, tested, found = None, None, nodes.select("node", F.col("node").alias("label"))
+    for _ in range(PIVOT_ROUNDS):  # these join most of each family; all that still stands apart is compared group by group
+        near = checkpointed(_best_pivots(groups, found, tested))
+        if near.isEmpty():
+            break
+        tested = near if tested is None else tested.union(near)
+        kept = checkpointed(_verified(near, words, similarity))
+        links = kept if links is None else links.union(kept)
+        found = components(nodes, links.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
     pairs = _block_pairs(groups, found.select(F.col("node").alias("doc_id"), "label"), words, similarity)
     left = _within_bound(pairs, similarity).groupBy("doc_id", "pivot").agg(F.min("bound").alias("bound"))
-    left = checkpointed(left.join(tested, ["doc_id", "pivot"], "left_anti"))
+    left = checkpointed(left if tested is None else left.join(tested, ["doc_id", "pivot"], "left_anti"))
     for share in (0.5, 0.75, None):  # the closest first; the last round takes all that is left
         own, other = found.select(F.col("node").alias("doc_id"), F.col("label").alias("x")), found.select(F.col("node").alias("pivot"), F.col("label").alias("y"))
         left = checkpointed(left.join(own, "doc_id").join(other, "pivot").where("x != y").drop("x", "y"))
         near = left if share is None else left.where(F.col("bound") <= share * (1 - similarity))
         if near.isEmpty():
             continue
-        links = links.union(checkpointed(_verified(near.select("doc_id", "pivot"), words, similarity)))
+        kept = checkpointed(_verified(near.select("doc_id", "pivot"), words, similarity))
+        links = kept if links is None else links.union(kept)
         found = components(nodes, links.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
         left = left.join(near, ["doc_id", "pivot"], "left_anti")
 

@@ -15,13 +15,14 @@ training of the final model. Its bias is moved to where the documents' most toxi
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewatch.llm.blocks import id_and_text
 from tidewatch.llm.hashing import mixed
@@ -249,23 +250,20 @@ def _slices(texts: list[bytes], most: int = 2 << 20) -> Iterator[list[bytes]]:
         yield part
 
 
-def _scored(rows: DataFrame, model: Model | None, threshold: float) -> DataFrame:
-    """Score and verdict of rows with `doc_id` and `text`: doc_id, text_key, score, predicted."""
-    given = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
+def _scorer(spark: SparkSession, model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray]]]:
+    """For tasks: batches with a column `text`, each with its texts' scores."""
+    given = spark.sparkContext.broadcast(model)  # BUCKETS weights
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         odds = WordOdds(given.value) if given.value else None
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             if odds is not None and batch.num_rows:
                 texts = batch.column("text").to_pylist()
                 scores = np.concatenate([_text_scores(part, odds, given.value.bias) for part in _slices(texts)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
-                ["doc_id", "text_key", "score", "predicted"],
-            )
+            yield batch, scores
 
-    return rows.mapInArrow(scored, "doc_id long, text_key binary, score double, predicted int")
+    return scored
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
@@ -273,21 +271,29 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
 
     Texts without a word, and all texts without a model, score 0.
     """
-    found = _scored(id_and_text(docs).withColumn("text_key", F.lit(None).cast("binary")), model, threshold)
+    scored = _scorer(docs.sparkSession, model)
+
+    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, scores in scored(batches):
+            predicted = pa.array((scores >= threshold).astype(np.int32))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(scores), "predicted": predicted})
+
+    found = id_and_text(docs).mapInArrow(figures, "doc_id long, score double, predicted int")
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` whose text scores below `threshold`, all columns kept; rows without an id go.
 
-    Every row is judged by its own text, also where an id has several.
+    Every row is judged by its own text, also where an id has several; nothing is shuffled or joined.
     """
-    key = F.unhex(F.sha2("text", 256))
-    rows = id_and_text(docs).withColumn("text_key", key)
-    good = _scored(rows, fit(docs, labels), threshold).where("predicted = 0").select(
-        F.col("doc_id").alias("good_id"), F.col("text_key").alias("good_key")
-    )
+    scored = _scorer(docs.sparkSession, fit(docs, labels))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    given = docs.select(F.struct(*docs.columns).alias("rest"), F.col("doc_id").cast("long").alias("row_id"), F.unhex(F.sha2(text, 256)).alias("row_key"))
-    kept = given.join(good, (F.col("row_id") == F.col("good_id")) & (F.col("row_key") == F.col("good_key")), "left_semi")
-    return kept.select(*[F.col("rest").getField(c).alias(c) for c in docs.columns])
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*docs.columns).alias("row"), text.alias("text"))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, scores in scored(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(scores < threshold))], ["row"])
+
+    kept = rows.mapInArrow(clean, StructType([rows.schema["row"]]))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
