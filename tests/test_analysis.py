@@ -532,3 +532,28 @@ def test_preprocessing_keeps_other_meta(spark):
     ).withColumn("hashtags", F.lit(None).cast("array<string>"))
     meta = preprocess(posts).first()["preprocessing_meta"]
     assert meta["source"] == "export" and meta["version"] == "1.0.0" and meta["hashtag_count"] == "1"
+
+
+def test_gazetteer_of_several_tries(spark, monkeypatch):
+    """Cut by first words into several tries, the mentions are the same, without a shuffle of words."""
+    random.seed(9)
+    words = ["red", "Blue,", "green.", "(deep)", "sea", "Sea!", "...", "sky"]
+    texts = [(i, " ".join(random.choice(words) for _ in range(60))) for i in range(30)] + [(99, ""), (100, None)]
+    names = [("red sea", "GPE"), ("deep sea", "GPE"), ("sea", "ORG"), ("sea", "GPE"), ("blue, green", "ORG"), ("sky ... red", "ORG"), (None, "ORG"), (", x", "ORG")]
+    frame = spark.createDataFrame(texts, "post_id int, text string")
+    gazetteer = spark.createDataFrame(names, "phrase string, label string")
+    one = E.gazetteer_candidates(frame, gazetteer)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(tuple(r) for r in one.collect())
+    monkeypatch.setattr(E, "MAX_NAMES", 2)
+    assert sorted(tuple(r) for r in E.gazetteer_candidates(frame, gazetteer).collect()) == whole
+    keys, expected = {n for n, _ in names if n}, set()
+    for i, text in texts:
+        parts = (text or "").split(" ")
+        for a in range(len(parts)):
+            for b in range(a + 1, min(a + 4, len(parts) + 1)):
+                raw = " ".join(parts[a:b])
+                clean = raw.strip(" \t\n.,;:!?")
+                begin = len(" ".join(parts[:a])) + (a > 0) + len(raw) - len(raw.lstrip(" \t\n.,;:!?"))
+                expected |= {(i, clean, label, begin, begin + len(clean)) for n, label in names if clean and clean.lower() == n}
+    assert set(whole) == expected and len(expected) > 100

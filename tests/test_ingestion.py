@@ -227,3 +227,20 @@ def test_scratch_tables_go_with_their_job(spark, tmp_path):
     before = set(os.listdir(place)) if os.path.isdir(place) else set()
     ingest.import_dataset(store, staged, MAPPING, "d1", "One")
     assert set(os.listdir(place)) <= before
+
+
+def test_repeats_with_colliding_short_hashes(spark, monkeypatch):
+    """Texts whose 64-bit hashes collide are told apart by their full keys."""
+    from tidewatch.operators import duplicates
+
+    rows = [(i, t) for i, t in enumerate(["a", "b", "a", "c", None, "b", "a", None, "d"])]
+    frame = spark.createDataFrame(rows, "id int, t string")
+
+    def flags():
+        found = duplicates.flag_repeats(frame, duplicates.F.col("t"), ["id"], ["id"])
+        return {r["id"]: r["is_duplicate"] for r in found.collect()}
+
+    expected = {i: t is not None and t in [u for _, u in rows[:i]] for i, t in rows}
+    assert flags() == expected
+    monkeypatch.setattr(duplicates, "short_hash", lambda text: duplicates.F.length(text).cast("long"))
+    assert flags() == expected

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -131,13 +132,24 @@ _NUMBERED = {0: "\ufffd", 13: "\r"} | {
 }
 
 
+def _by_start(names: dict[str, str]) -> Column:
+    """Names and what they stand for as one literal: a map by the first two letters of maps by name."""
+    parts: dict[str, dict[str, str]] = {}
+    for name, value in names.items():
+        parts.setdefault(name[:2], {})[name] = value
+    return F.from_json(F.lit(json.dumps(parts)), "map<string,map<string,string>>")
+
+
 def decode_entities(text: Column) -> Column:
     """Decode HTML entities as the HTML 5 rules ask: by number, by name, and the old names that need
     no semicolon. A text is cut at each `&`, and the reference at the head of each part replaced."""
     head = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
-    named = F.map_from_arrays(F.array(*map(F.lit, html5)), F.array(*map(F.lit, html5.values())))
+    names = _by_start(html5)
     old_names = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
-    replaced = F.map_from_arrays(F.array(*[F.lit(n).cast("bigint") for n in _NUMBERED]), F.array(*map(F.lit, _NUMBERED.values())))
+    replaced = F.from_json(F.lit(json.dumps({str(n): c for n, c in _NUMBERED.items()})), "map<string,string>")
+
+    def named(reference: Column) -> Column:
+        return F.try_element_at(F.try_element_at(names, F.substring(reference, 1, 2)), reference)
 
     def number(reference: Column) -> Column:
         digits = F.regexp_extract(reference, "^#[xX]?0*([0-9a-fA-F]*)", 1)
@@ -148,7 +160,7 @@ def decode_entities(text: Column) -> Column:
         unprintable = code.between(1, 8) | code.between(14, 31) | code.between(127, 159) | code.between(0xFDD0, 0xFDEF)
         unprintable = unprintable | (code == 11) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
         return (
-            F.when(F.try_element_at(replaced, code).isNotNull(), F.try_element_at(replaced, code))
+            F.when(F.try_element_at(replaced, code.cast("string")).isNotNull(), F.try_element_at(replaced, code.cast("string")))
             .when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\ufffd"))
             .when(unprintable, F.lit(""))
             .otherwise(character)
@@ -156,8 +168,8 @@ def decode_entities(text: Column) -> Column:
 
     def name(reference: Column) -> Column:
         old = F.regexp_extract(reference, "^(" + "|".join(old_names) + ")", 1)
-        prefix = F.concat(F.try_element_at(named, old), F.substring(reference, F.length(old) + 1, F.length(reference)))
-        whole = F.try_element_at(named, reference)
+        prefix = F.concat(named(old), F.substring(reference, F.length(old) + 1, F.length(reference)))
+        whole = named(reference)
         return F.coalesce(whole, F.when(old != "", prefix), F.concat(F.lit("&"), reference))
 
     def part(piece: Column, i: Column) -> Column:
@@ -170,10 +182,14 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
+def canonical_text(text: Column) -> Column:
+    """The stripped, lower-cased, space-collapsed text."""
+    return F.regexp_replace(F.lower(strip(text)), f"{V.SPACE}+", " ")
+
+
 def text_hash(text: Column) -> Column:
-    """SHA-256 of the stripped, lower-cased, space-collapsed text."""
-    canonical = F.regexp_replace(F.lower(strip(text)), f"{V.SPACE}+", " ")
-    return F.sha2(canonical, 256)
+    """SHA-256 of the canonical text."""
+    return F.sha2(canonical_text(text), 256)
 
 
 def sentiment_ready(decoded: Column) -> Column:

@@ -1,7 +1,7 @@
 """Entity mentions by gazetteer or by a tagger hook, and entity figures.
 
 A gazetteer has the columns `phrase` and `label`; a phrase may have any number of blank-separated
-words: the longest one sets how far a match may run.
+words.
 """
 
 from __future__ import annotations
@@ -9,16 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import fixed_values as V
 from tidewatch.functions import text as T
+from tidewatch.session import checkpointed
 
 TAGGER_BATCH = 64  # texts a tagger gets at a time
 MENTION_SCHEMA = "text string, label string, start_char int, end_char int"
 _EDGE = " \t\n.,;:!?"
-_BLOCK = 16  # words
+MAX_NAMES = 200_000  # phrases a trie holds
 
 
 def tagged_text(posts: DataFrame) -> DataFrame:
@@ -27,89 +29,86 @@ def tagged_text(posts: DataFrame) -> DataFrame:
     return posts.select("post_id", text.alias("text"))
 
 
-def _word_blocks(texts: DataFrame, longest: int) -> DataFrame:
-    """Single-spaced texts cut into blocks of words, each with the offset of its first character.
-
-    A block carries the next words too, so that a phrase of `longest` words may run over its end;
-    `hits` goes along. Each step reads a finished column: an expression inside a lambda would be
-    computed for every element.
-    """
-    own = F.transform("blocks", lambda b: F.length(F.array_join(F.slice(b, 1, _BLOCK), " ")) + 1)
-    offsets = F.aggregate(
-        "lengths",
-        F.array(F.lit(0)),
-        lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)),
-    )
-    # The outer explode keeps Spark from computing the blocks again to test their number.
-    return (
-        texts.select("post_id", "hits", F.split("text", " ").alias("words"))
-        .select(
-            "post_id",
-            "hits",
-            F.transform(
-                F.sequence(F.lit(0), F.size("words") - 1, F.lit(_BLOCK)),
-                lambda start: F.slice("words", start + 1, F.lit(_BLOCK + longest - 1)),
-            ).alias("blocks"),
-        )
-        .withColumn("lengths", own)
-        .withColumn("offsets", offsets)
-        .select("post_id", "hits", F.explode_outer(F.arrays_zip("blocks", "offsets")).alias("b"))
-        .select("post_id", "hits", F.col("b.blocks").alias("words"), F.col("b.offsets").alias("offset"))
-        .where("words IS NOT NULL")
-    )
-
-
 def _trimmed(phrase: Column) -> Column:
     return F.btrim(phrase, F.lit(_EDGE))
 
 
+def phrase_trie(names: list[tuple[str, str]]) -> dict:
+    """Phrases by their words: a node maps the next word to its node, and None to the labels of a phrase that ends."""
+    root: dict = {}
+    for key, label in names:
+        if key != key.strip(_EDGE):
+            continue  # mentions never begin or end with a mark
+        node = root
+        for word in key.split(" "):
+            node = node.setdefault(word, {})
+        node.setdefault(None, []).append(label)
+    return root
+
+
 def gazetteer_candidates(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Every word run that is a gazetteer phrase, overlaps included.
 
-    Each post first learns which of its distinct words begin a phrase. Only posts that have any are
-    cut into blocks, and runs are formed only where such a word stands.
+    Texts are walked through a trie of the phrases, in Arrow batches, where they lie. The trie is
+    broadcast; a gazetteer of more than `MAX_NAMES` phrases is cut into several by a hash of the phrases' first
+    words, and the texts are walked once for each.
     """
-    names = gazetteer.select(
+    names = gazetteer.where("phrase IS NOT NULL").select(
         F.lower(T.collapse_space(F.col("phrase"))).alias("key"), "label"
     ).distinct()
-    longest = names.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
-    first_words = names.select(
-        F.lower(_trimmed(F.substring_index("key", " ", 1))).alias("first")
-    ).distinct()
-    own = F.array_distinct(F.transform(F.split("text", " "), lambda w: F.lower(_trimmed(w))))
-    own = texts.select("post_id", F.explode_outer(own).alias("first"))
-    hits = own.join(first_words, "first", "left_semi").groupBy("post_id").agg(F.collect_set("first").alias("hits"))
-    blocks = _word_blocks(texts.select("post_id", "text").join(hits, "post_id"), longest)
-    here = F.filter(
-        F.sequence(F.lit(0), F.least(F.size("words"), F.lit(_BLOCK)) - 1),
-        lambda i: F.array_contains("hits", F.lower(_trimmed(F.get("words", i)))),
-    )
-    starts = blocks.select("post_id", "words", "offset", F.explode_outer(here).alias("i")).where("i IS NOT NULL")
-    before = F.array_join(F.slice("words", F.lit(1), F.col("i")), " ")
-    phrases = starts.select(
-        "post_id",
-        (F.col("offset") + F.length(before) + F.least(F.col("i"), F.lit(1))).alias("start"),
-        F.slice("words", F.col("i") + 1, F.lit(longest)).alias("run"),
-    ).select(
-        "post_id",
-        "start",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("run")),
-                lambda n: F.array_join(F.slice("run", F.lit(1), n), " "),
+    names = checkpointed(names)
+    parts = max(1, -(-names.count() // MAX_NAMES))
+    part = F.pmod(F.xxhash64(F.substring_index("key", " ", 1)), F.lit(parts))
+    kind = dict(texts.dtypes)["post_id"]
+    shown = texts.where("text IS NOT NULL").select("post_id", "text", F.lower("text").alias("lowered"))
+    found = None
+    for number in range(parts):
+        rows = names.where(part == number).collect()  # some MAX_NAMES phrases
+        trie = texts.sparkSession.sparkContext.broadcast(phrase_trie([(r["key"], r["label"]) for r in rows]))
+        walked = shown.mapInArrow(_walk(trie), f"post_id {kind}, {MENTION_SCHEMA}")
+        found = walked if found is None else found.union(walked)
+    return found
+
+
+def _walk(trie):
+    """The function of a task. It refers to nothing of this package, so that workers need not find it."""
+
+    def candidates(root: dict, text: str, lowered: str) -> list[tuple[str, str, int, int]]:
+        """(text, label, start, end) of every run of words that is a phrase: its first word without the
+        marks before it, its last without those behind it."""
+        words, lower, found, begun = text.split(" "), lowered.split(" "), [], 0
+        if len(words) != len(lower):
+            return found
+        for i, word in enumerate(words):
+            start = begun + len(word) - len(word.lstrip(_EDGE))
+            node, end, j, token = root, begun + len(word), i, lower[i].lstrip(_EDGE)
+            while True:
+                ends = node.get(token.rstrip(_EDGE))
+                if ends and None in ends:
+                    stop = end - (len(words[j]) - len(words[j].rstrip(_EDGE)))
+                    found += [(text[start:stop], label, start, stop) for label in ends[None]]
+                node, j = node.get(token), j + 1
+                if not node or j == len(words):
+                    break
+                end, token = end + 1 + len(words[j]), lower[j]
+            begun += len(word) + 1
+        return found
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, (text, lowered) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lowered").to_pylist())):
+                found = candidates(trie.value, text, lowered)
+                at += [i] * len(found)
+                rows += found
+            columns = list(zip(*rows)) if rows else [(), (), (), ()]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("post_id").take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                ["post_id", "text", "label", "start_char", "end_char"],
             )
-        ).alias("raw"),
-    )
-    surface = phrases.select(
-        "post_id",
-        (F.col("start") + F.length("raw") - F.length(F.ltrim("raw", F.lit(_EDGE)))).alias("start_char"),
-        _trimmed(F.col("raw")).alias("text"),
-    ).withColumn("key", F.lower("text"))
-    found = surface.join(names, "key").select(
-        "post_id", "text", "label", "start_char",
-        (F.col("start_char") + F.length("text")).alias("end_char"),
-    )
-    return found.distinct()
+
+    return walk
 
 
 def longest_matches(candidates: DataFrame) -> DataFrame:
