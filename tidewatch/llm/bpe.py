@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.blocks import documents_of, dump, load, pack, shuffle_partitions
+from tidewatch.llm.blocks import documents_of, dump, load, pack, release_memory, released, shuffle_partitions
 from tidewatch.llm.pretokens import ids_of, tokenizer, unit_keys
 from tidewatch.llm.token_files import _byte_letters
 
@@ -83,8 +83,8 @@ def encoded_blocks(docs: DataFrame, tokenizer_path: str) -> tuple[DataFrame, Dat
                 both = pa.table({"n": [lengths.tobytes()], "ids": [flat.tobytes()], "wide": [flat.itemsize == 4], "long": [lengths.itemsize == 4]})
                 yield pa.RecordBatch.from_pydict({"block": [block.as_py()], "shard": pa.array([shard.as_py()], pa.int32()), "ids": [dump(both)]})
 
-    words = blocks.mapInArrow(spread, "block long, shard int, units binary").repartition(shards, "shard")
-    return blocks, words.mapInArrow(encode, "block long, shard int, ids binary"), shards
+    words = blocks.mapInArrow(released(spread), "block long, shard int, units binary").repartition(shards, "shard")
+    return blocks, words.mapInArrow(released(encode), "block long, shard int, ids binary"), shards
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, with_texts: bool = True) -> DataFrame:
@@ -133,6 +133,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_texts: bool = Tr
         if with_texts:
             ends = np.cumsum([0, *rows["n_tokens"]], dtype=np.int32)
             columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat_ids), "<i4")))
-        return pa.table({k: columns[k] for k in kinds})
+        out = pa.table({k: columns[k] for k in kinds})
+        release_memory()
+        return out
 
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(join, schema)

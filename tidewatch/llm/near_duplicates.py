@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.blocks import id_and_text
+from tidewatch.llm.blocks import id_and_text, released
 from tidewatch.llm.hashing import mixed, word_hashes
 from tidewatch.session import checkpointed
 
@@ -256,7 +256,7 @@ def _within_bound(blocks: DataFrame, similarity: float) -> DataFrame:
             flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((docs, np.int64), (others, np.int64), (bounds, np.float64))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["doc_id", "pivot", "bound"])
 
-    return blocks.mapInArrow(compare, "doc_id long, pivot long, bound double")
+    return blocks.mapInArrow(released(compare), "doc_id long, pivot long, bound double")
 
 
 def _block_pairs(groups: DataFrame, labels: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -307,7 +307,7 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
 
     pivots = words.select(F.col("doc_id").alias("pivot"), F.col("words").alias("pivot_words"))
     joined = pairs.join(words.select("doc_id", "words"), "doc_id").join(pivots, "pivot").select("doc_id", "pivot", "words", "pivot_words")
-    return joined.mapInArrow(align, "doc_id long, pivot long")
+    return joined.mapInArrow(released(align), "doc_id long, pivot long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def _text_classes(docs: DataFrame, similarity: float) -> DataFrame:
             columns = [batch.column("doc_id").take(held), batch.column("text_key").take(held), keys]
             yield pa.RecordBatch.from_arrays(columns, ["copy_of", "text_key", "keys"])
 
-    sketched = rows.mapInArrow(sketch, "copy_of long, text_key binary, keys array<long>").join(firsts, ["copy_of", "text_key"])
+    sketched = rows.mapInArrow(released(sketch), "copy_of long, text_key binary, keys array<long>").join(firsts, ["copy_of", "text_key"])
     sketched = sketched.dropDuplicates(["copy_of", "text_key"])
     groups = checkpointed(_groups(sketched.select(F.col("node").alias("doc_id"), F.explode("keys").alias("key"))))
     paired = groups.select("doc_id").distinct()
@@ -373,7 +373,7 @@ def _text_classes(docs: DataFrame, similarity: float) -> DataFrame:
     wanted = firsts.join(paired.withColumnRenamed("doc_id", "node"), "node", "left_semi")
     texts = rows.join(wanted.withColumnRenamed("copy_of", "doc_id"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     texts = texts.select(F.col("node").alias("doc_id"), "text")
-    words = checkpointed(texts.mapInArrow(words_of, "doc_id long, words binary, n long, counts binary"))
+    words = checkpointed(texts.mapInArrow(released(words_of), "doc_id long, words binary, n long, counts binary"))
 
     nodes = checkpointed(paired.select(F.col("doc_id").alias("node")))
     links, tested, found = None, None, nodes.select("node", F.col("node").alias("label"))

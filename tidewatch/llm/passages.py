@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from tidewatch.llm.blocks import documents_of, dump, load, pack, shuffle_partitions
+from tidewatch.llm.blocks import documents_of, dump, load, pack, release_memory, released, shuffle_partitions
 from tidewatch.llm.hashing import mixed
 
 BLOCK_BYTES = 4 << 20
@@ -307,6 +307,8 @@ def _search(scheme: Scheme):
             if at:
                 table = pa.table({"at": pa.array(at, pa.int64()), "begin": pa.array(begins, pa.int64()), "behind": pa.array(behind, pa.int64())})
                 found.append((number, shard, dump(table)))
+        del tables, texts, masks
+        release_memory()
         return pa.Table.from_batches([_answer(found)])
 
     return search
@@ -327,6 +329,7 @@ def _finish(scheme: Scheme, shards: int):
                     begins.append(block.begins[run] + begin[which])
                     behind.append(block.begins[run] + stop[which])
             out.append(scheme.result(block, block.covered(np.concatenate(begins), np.concatenate(behind))))
+        release_memory()
         return pa.concat_tables(out)
 
     return finish
@@ -336,10 +339,10 @@ def without_repeats(docs: DataFrame, scheme: Scheme, schema: str) -> DataFrame:
     """`scheme.result` of every block of `docs`, given the symbols that repeated windows cover."""
     shards = SHARDS_PER_PARTITION * shuffle_partitions(docs)
     blocks = pack(docs, BLOCK_BYTES)
-    entries = blocks.mapInArrow(_split(scheme, shards), _ANSWER)
+    entries = blocks.mapInArrow(released(_split(scheme, shards)), _ANSWER)
     verdicts = entries.repartitionById(shards, "shard").groupBy("shard").applyInArrow(_judge(scheme), _ANSWER)
     by_block = verdicts.groupBy("block").agg(F.collect_list(F.struct("shard", "payload")).alias("verdicts"))
     judged = blocks.join(by_block, "block", "left")
-    wanted = judged.mapInArrow(_send(scheme, shards), _ANSWER)
+    wanted = judged.mapInArrow(released(_send(scheme, shards)), _ANSWER)
     spans = wanted.repartitionById(shards, "shard").groupBy("shard").applyInArrow(_search(scheme), _ANSWER)
     return judged.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_finish(scheme, shards), schema)

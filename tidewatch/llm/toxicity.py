@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewatch.llm.blocks import id_and_text
+from tidewatch.llm.blocks import id_and_text, released
 from tidewatch.llm.hashing import mixed
 from tidewatch.llm.labelled import held_out, training_rows
 
@@ -32,7 +32,7 @@ SEGMENT = 8
 SURE = 0.9
 BUCKETS = 1 << 17
 WIDTH = 8
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 _MARKS = re.compile(r"[\W_]+")
 _POWERS = np.random.default_rng(29).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
             predicted = pa.array((scores >= threshold).astype(np.int32))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(scores), "predicted": predicted})
 
-    found = id_and_text(docs).mapInArrow(figures, "doc_id long, score double, predicted int")
+    found = id_and_text(docs).mapInArrow(released(figures), "doc_id long, score double, predicted int")
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
@@ -295,5 +295,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
         for batch, scores in scored(batches):
             yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(scores < threshold))], ["row"])
 
-    kept = rows.mapInArrow(clean, StructType([rows.schema["row"]]))
+    kept = rows.mapInArrow(released(clean), StructType([rows.schema["row"]]))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
