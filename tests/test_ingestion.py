@@ -244,3 +244,47 @@ def test_repeats_with_colliding_short_hashes(spark, monkeypatch):
     assert flags() == expected
     monkeypatch.setattr(duplicates, "short_hash", lambda text: duplicates.F.length(text).cast("long"))
     assert flags() == expected
+
+
+def test_manifest_survives_a_crash_between_its_steps(spark, tmp_path, monkeypatch):
+    """A change that dies after its file is made, or half written, leaves the row before it readable."""
+    from tidewatch.sources.store import Store, _line
+
+    store = Store(spark, str(tmp_path / "w"))
+    store.register_dataset("d1", "First", "ready", {"rows": 3})
+    before = store.dataset("d1")
+    files, place = store._files(f"{store.path('datasets')}/dataset_id=d1/v0000000002.json")
+    out = files.create(place, False)  # made, nothing written
+    out.close()
+    assert store.dataset("d1") == before
+    line = _line({"dataset_id": "d1", "name": "Cut", "status": "x", "version": 3})
+    files, place = store._files(f"{store.path('datasets')}/dataset_id=d1/v0000000003.json")
+    out = files.create(place, False)
+    out.write(bytearray(line[: len(line) // 2].encode()))
+    out.close()
+    assert store.dataset("d1") == before
+    store.set_status("d1", "analyzed")
+    after = store.dataset("d1")
+    assert after["status"] == "analyzed" and after["name"] == "First" and after["created_at"] == before["created_at"]
+    assert sorted(store._versions(f"{store.path('datasets')}/dataset_id=d1")) == [1, 2, 3, 4]
+
+
+def test_two_writers_take_versions_one_after_the_other(spark, tmp_path, monkeypatch):
+    from tidewatch.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "w"))
+    store.write_run("r1", "d1", "running", {}, {}, {})
+    seen, versions = [], store._versions
+
+    def late(folder):
+        found = versions(folder)
+        if not seen:
+            seen.append(1)
+            store.write_run("r1", "d1", "completed", {"by": "other"}, {}, {})
+        return found
+
+    monkeypatch.setattr(store, "_versions", late)
+    store.write_run("r1", "d1", "failed", {"by": "this"}, {}, {}, error="x")
+    rows = store.runs().collect()
+    assert len(rows) == 1 and rows[0]["status"] == "failed" and rows[0]["completed_at"] is not None
+    assert sorted(versions(f"{store.path('runs')}/dataset_id=d1/analysis_run_id=r1")) == [1, 2, 3]
