@@ -134,11 +134,24 @@ EVENT_ENTITIES = """event_entities AS (
 
 
 # --- documents as posts ---
+#: What stands for the event of a document that has none of its number.
+_NO_EVENT = {"event_type": "'view'", "user_id": "0", "ts": "TIMESTAMP '2024-01-01 00:00:00'", "value": "0.0"}
+_FILLED = ", ".join(f"coalesce({c}, {v}) AS {c}" for c, v in _NO_EVENT.items())
+EVENTED = f'(SELECT documents.*, {_FILLED} FROM documents LEFT JOIN events ON event_id = doc_id) AS documents'
+
+
+def _with_events(documents: DataFrame, events: DataFrame) -> DataFrame:
+    """Every document with the event of its number, or with fixed values where there is none."""
+    kinds = dict(events.dtypes)
+    filled = {c: F.coalesce(F.col(c), F.expr(v).cast(kinds[c])) for c, v in _NO_EVENT.items()}
+    return documents.join(events, F.col("event_id") == F.col("doc_id"), "left").withColumns(filled)
+
+
 def doc_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents with the markers of social posts appended."""
     documents = text_table(spark, sf_dir, "documents")
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts", "value")
-    joined = documents.join(events, F.col("event_id") == F.col("doc_id"))
+    joined = _with_events(documents, events)
     return joined.selectExpr(
         "doc_id AS post_id",
         "concat(text, ' #', upper(event_type), ' #', event_type, ' @user', user_id,"
@@ -154,12 +167,12 @@ def doc_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-DOC_POSTS = """doc_posts AS (
+DOC_POSTS = f"""doc_posts AS (
   SELECT doc_id AS post_id,
     concat("text", ' #', upper(event_type), ' #', event_type, ' @user', user_id,
       ' https://ex.com/p/', doc_id % 50, ' &amp; !!!!') AS original_text,
     ts AS "timestamp", source AS platform, CAST(floor(value) AS INT) AS likes, lang, event_type
-  FROM documents JOIN events ON event_id = doc_id)"""
+  FROM {EVENTED})"""
 
 
 def doc_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +234,7 @@ def _when(iso: str, blank: str, seconds: str, slashes: str, day: str) -> str:
 def staged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = text_table(spark, sf_dir, "documents")
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    joined = documents.join(events, F.col("event_id") == F.col("doc_id"))
+    joined = _with_events(documents, events)
     when = _when(
         "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
         "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
@@ -251,7 +264,7 @@ STAGED = f"""staged AS (
     CASE event_type WHEN 'view' THEN date_trunc('second', ts) WHEN 'click' THEN date_trunc('second', ts)
       WHEN 'signup' THEN date_trunc('second', ts) WHEN 'purchase' THEN date_trunc('minute', ts)
       ELSE CASE WHEN value < 300 THEN NULL ELSE CAST(date_trunc('day', ts) AS TIMESTAMP) END END AS parsed
-  FROM documents JOIN events ON event_id = doc_id),
+  FROM {EVENTED}),
 checked AS (
   SELECT *, length(trim(body)) < 3 AS bad_text, trim(created_at) = '' AS no_time,
     trim(created_at) <> '' AND parsed IS NULL AS bad_time,
