@@ -18,20 +18,20 @@ _CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "quoteAll
         "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def _documents_as_csv(spark, sf_dir, encoding):
+def _documents_as_csv(spark, sf_dir, encoding, **scan):
     path = f"{scratch_path(spark, 'upload')}/documents.csv"
     documents = T.text_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     documents.write.options(**_CSV, encoding=encoding).csv(path)
-    return csv_scan.scan_csv(spark, path)
+    return csv_scan.scan_csv(spark, path, **scan)
 
 
 _DOCUMENT_ROWS = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5("text") AS text_md5, length("text") AS n,
   lang, source FROM documents"""
 
 
-def _document_rows(staged):
+def _document_rows(staged, *more):
     return staged.select(
-        "doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n"), "lang", "source"
+        "doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n"), "lang", "source", *more
     )
 
 
@@ -47,6 +47,19 @@ def csv_latin(spark, sf_dir):
     return _document_rows(_documents_as_csv(spark, sf_dir, "ISO-8859-1"))
 
 
+@query(
+    "s1_s3_csv_in_blocks",
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5("text") AS text_md5, length("text") AS n, lang, source, true AS gapless FROM documents""",
+)
+def csv_in_blocks(spark, sf_dir):
+    """The same with every file read in blocks; row numbers must have no gaps within a file."""
+    staged = _documents_as_csv(spark, sf_dir, "UTF-8", split_bytes=0)
+    counted = staged.groupBy("source_file").agg(
+        ((F.count(F.lit(1)) == F.count_distinct("row_index")) & (F.min("row_index") == 0) & (F.max("row_index") == F.count(F.lit(1)) - 1)).alias("gapless")
+    )
+    return _document_rows(staged.join(counted, "source_file"), "gapless")
+
+
 @query("s4_raw_preview", 'SELECT CAST(doc_id AS VARCHAR) AS doc_id, "text", lang, source FROM documents ORDER BY documents.doc_id LIMIT 20')
 def raw_preview(spark, sf_dir):
     """The first rows of the scanned upload, in the order of their ids."""

@@ -1,4 +1,5 @@
 import os
+import random
 from datetime import datetime
 
 import pytest
@@ -8,6 +9,7 @@ from tidewatch.functions.timestamps import parse_standard, parse_timestamp
 from tidewatch.operators import columns, normalize, validation
 from tidewatch.plans import ingest
 from tidewatch.session import shared_dir
+from tidewatch.sources import csv_blocks
 from tidewatch.sources.csv_scan import preview, scan_csv
 from tidewatch.sources.store import Store, posts_preview
 
@@ -135,6 +137,97 @@ def test_row_numbers_within_many_files(spark, tmp_path):
     assert all(r["text"] == f"r{r['row_index']}" for r in rows) and len(rows) == 78
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Splits of some 300 bytes, so that records cross them."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for key, value in old.items():
+        spark.conf.set(key, value)
+
+
+def scanned(spark, path, **kwargs):
+    names = ("text", "id", "n", "row_index", "source_file")
+    return sorted(tuple(r[c] for c in names) for r in scan_csv(spark, path, **kwargs).collect())
+
+
+def random_csv(rng, end, last_end, regular=True):
+    """A file of 40 records with quotes, commas, newlines and empty lines; some records have two or four cells."""
+    bits = ["a", "é", " ", ",", '""', "\n", "\r\n", "\n\n", "long words here ", "'"]
+
+    def cell():
+        if rng.random() < 0.4:
+            return '"' + "".join(rng.choice(bits) for _ in range(rng.randrange(12))) + '"'
+        return rng.choice(["", "NA", " x ", "word", "007", "1e5"] + ([] if regular else ['5" pipe', '"a" b', ' "c"']))
+
+    records = ["text,id,n"]
+    for _ in range(40):
+        records.append(",".join(cell() for _ in range(rng.choice([3, 3, 3, 2, 4]))))
+        if rng.random() < 0.1:
+            records.append("")
+    return end.join(records) + (end if last_end else "")
+
+
+@pytest.mark.parametrize("seed, end, last_end", [(1, "\n", True), (2, "\n", False), (3, "\r\n", True), (4, "\r\n", False)])
+def test_blocks_read_what_whole_files_read(spark, tmp_path, small_blocks, seed, end, last_end):
+    path = put(tmp_path, "r.csv", random_csv(random.Random(seed), end, last_end))
+    assert csv_blocks.records(spark, path, "utf-8") is not None
+    in_blocks = scanned(spark, path, split_bytes=0)
+    assert in_blocks == scanned(spark, path)
+    assert sorted(r[3] for r in in_blocks) == list(range(len(in_blocks)))
+
+
+def test_blocks_of_several_files_and_another_encoding(spark, tmp_path, small_blocks):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    for i in range(3):
+        put(folder, f"{i}.csv", random_csv(random.Random(10 + i), "\n", i != 1).encode("cp1252"))
+    path = str(folder)
+    assert csv_blocks.records(spark, path, "windows-1252") is not None
+    assert scanned(spark, path, split_bytes=0) == scanned(spark, path)
+
+
+def test_a_cell_over_many_blocks(spark, tmp_path, small_blocks):
+    cell = "line, with ""\n" * 100
+    path = put(tmp_path, "c.csv", f'text,id,n\nx,1,2\n"{cell}",2,3\n\ny,3,4\n')
+    assert scanned(spark, path, split_bytes=0) == scanned(spark, path)
+    assert [r["text"] for r in scan_csv(spark, path, 0).orderBy("row_index").collect()] == ["x", cell, "y"]
+
+
+@pytest.mark.parametrize("content", ['text,id,n\n5" pipe,1,2\nb,2,3\n6" pipe,3,4\n', 'text,id,n\n"a" b,1,2\nc,2,3\n', 'text,id,n\r\na,1,2\nb,2,3\n', 'text,id,n\na,1,2\n"open,2,3\n'])
+def test_irregular_files_are_read_whole(spark, tmp_path, small_blocks, content):
+    path = put(tmp_path, "i.csv", content)
+    assert csv_blocks.records(spark, path, "utf-8") is None
+    assert scanned(spark, path, split_bytes=0) == scanned(spark, path)
+
+
+def test_irregular_random_files(spark, tmp_path, small_blocks):
+    path = put(tmp_path, "i.csv", random_csv(random.Random(7), "\n", True, regular=False))
+    assert scanned(spark, path, split_bytes=0) == scanned(spark, path)
+
+
+def test_a_large_file_makes_many_tasks(spark, tmp_path):
+    path = put(tmp_path, "big.csv", "text,id,n\n" + '"some\ntext",1,2\n' * 100_000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 10))
+    try:
+        lines = csv_blocks._lines(spark, path, "utf-8")
+        assert lines.rdd.getNumPartitions() > 10
+        staged = scan_csv(spark, path, split_bytes=1 << 20)
+        found = staged.agg(F.count("*"), F.count_distinct("row_index"), F.max("row_index"), F.min("row_index"), F.min("text"), F.max("text")).first()
+        assert tuple(found) == (100_000, 100_000, 99_999, 0, "some\ntext", "some\ntext")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("content", [b"", b"a,b\n", b"a,a\n1,2\n", b"a\x00,b\n1,2\n", b"a,b\n\x81,\xe9\n"])
+def test_refusals_of_blocks(spark, tmp_path, content):
+    with pytest.raises(ValueError):
+        scan_csv(spark, put(tmp_path, "bad.csv", content), split_bytes=0)
+
+
 def test_validation_of_a_lifecycle_file(spark, tmp_path):
     staged = scan_csv(spark, put(tmp_path, "l.csv", LIFECYCLE))
     checked = ingest.validate(staged, MAPPING)
