@@ -15,7 +15,9 @@ from tidewatch.operators.ranking import page
 from tidewatch.plans import enrichment, search
 from tidewatch.plans import topics as topic_plans
 from tidewatch.plans import trends as trend_plans
-from tidewatch.session import checkpointed
+from tidewatch.session import checkpointed, scratch_path
+from tidewatch.sources import post_index
+from tidewatch.sources.store import Store
 
 _BASE = f"WITH {T.EVENT_POSTS}, {T.EVENT_SENTIMENT}, {T.EVENT_LINKS}, {T.EVENT_TOPICS}"
 
@@ -177,6 +179,42 @@ def search_total(spark, sf_dir):
     )
 
 
+def _indexed_posts(spark, sf_dir):
+    """Document posts in a new store, their files cut by time and indexed."""
+    workspace = Store(spark, scratch_path(spark, "indexed"))
+    posts = T.doc_posts(spark, sf_dir).withColumn("cleaned_text", F.lit(None).cast("string"))
+    workspace.replace(post_index.POSTS, posts.repartitionByRange("timestamp", "post_id"), "documents")
+    post_index.build(workspace, "documents")
+    return workspace
+
+
+@query(
+    "p12_q8_indexed_search",
+    f"""WITH {T.DOC_POSTS} SELECT post_id, md5(original_text) AS text_md5 FROM doc_posts
+    WHERE contains(lower(original_text), 'the and') OR contains(lower(original_text), 'https://ex.com/p/17 ')""",
+)
+def indexed_search(spark, sf_dir):
+    """Two searches that read only files with all trigrams of the query."""
+    workspace = _indexed_posts(spark, sf_dir)
+    found = None
+    for text in ("The and", "HTTPS://ex.com/p/17 &amp"):
+        posts = post_index.select_posts(workspace, "documents", text).posts.where(filters.containing(text))
+        found = posts if found is None else found.unionByName(posts)
+    return found.select("post_id", F.md5("original_text").alias("text_md5")).distinct()
+
+
+@query(
+    "o5_deep_page",
+    f"""WITH {T.DOC_POSTS} SELECT post_id, "timestamp", md5(original_text) AS text_md5 FROM doc_posts
+    ORDER BY "timestamp" DESC, post_id LIMIT 60 OFFSET 130""",
+)
+def deep_page(spark, sf_dir):
+    """A page far from the start, from the files that can overlap it."""
+    found = post_index.select_posts(_indexed_posts(spark, sf_dir), "documents", limit=60, offset=130)
+    chosen = page(found.posts, [F.desc("timestamp"), F.col("post_id")], 60, found.offset)
+    return chosen.select("post_id", "timestamp", F.md5("original_text").alias("text_md5"))
+
+
 def _ranked(spark, sf_dir, window="hourly", platform=None):
     t = _tables(spark, sf_dir)
     rollup = trend_plans.run_rollup(t["posts"], t["post_topics"], t["topics"], t["sentiment"])

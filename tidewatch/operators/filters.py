@@ -27,8 +27,8 @@ def utc(value: datetime) -> datetime:
     return value.astimezone(timezone.utc)
 
 
-def between_dates(start: date | datetime | None, end: date | datetime | None) -> Column:
-    """Inclusive range of `timestamp`. A date-only end covers its whole day."""
+def between_dates(start: date | datetime | None, end: date | datetime | None, column: str = "timestamp") -> Column:
+    """Inclusive range of a time column. A date-only end covers its whole day."""
     day_only = end is not None and not isinstance(end, datetime)
 
     def instant(value) -> datetime:
@@ -43,11 +43,11 @@ def between_dates(start: date | datetime | None, end: date | datetime | None) ->
         raise ValueError(f"The range is empty: it starts {low} and ends {high}.")
     condition = F.lit(True)
     if low is not None:
-        condition = condition & (F.col("timestamp") >= F.lit(low))
+        condition = condition & (F.col(column) >= F.lit(low))
     if high is not None:
         bound = F.lit(high)
         condition = condition & (
-            F.col("timestamp") < bound if day_only else F.col("timestamp") <= bound
+            F.col(column) < bound if day_only else F.col(column) <= bound
         )
     return condition
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import filters
 from tidewatch.operators.ranking import page
+from tidewatch.plans.analysis import load_run
+from tidewatch.sources import post_index
+from tidewatch.sources.store import Store
 
 
 def matching_posts(
@@ -78,3 +81,25 @@ def search_total(posts: DataFrame, sentiment: DataFrame, post_topics: DataFrame,
     """Number of posts over all pages."""
     found = matching_posts(posts, sentiment, post_topics, **criteria)
     return found.agg(F.count(F.lit(1)).alias("total"))
+
+
+def search_run(
+    store: Store, run_id: str, dataset_id: str | None = None, limit: int = 50, offset: int = 0, **criteria
+) -> DataFrame:
+    """`search_posts` over a stored run that reads only the files that can hold the page."""
+    tables = load_run(store, run_id, dataset_id)
+    plain = not any(criteria.get(c) for c in ("query", "label", "platform")) and criteria.get("topic_id") is None
+    dates = {k: criteria.get(k) for k in ("query", "date_from", "date_to")}
+    dataset = store.run(run_id, dataset_id)["dataset_id"]
+    found = post_index.select_posts(store, dataset, **dates, limit=limit if plain else None, offset=offset)
+    return search_posts(
+        found.posts, tables["sentiment"], tables["post_topics"], tables["topics"], limit, found.offset, **criteria
+    )
+
+
+def search_total_of_run(store: Store, run_id: str, dataset_id: str | None = None, **criteria) -> DataFrame:
+    """`search_total` over a stored run, reading only the files that can hold matches."""
+    tables = load_run(store, run_id, dataset_id)
+    dates = {k: criteria.get(k) for k in ("query", "date_from", "date_to")}
+    found = post_index.select_posts(store, store.run(run_id, dataset_id)["dataset_id"], **dates)
+    return search_total(found.posts, tables["sentiment"], tables["post_topics"], **criteria)
