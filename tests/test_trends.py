@@ -239,3 +239,38 @@ def test_numbering_with_ties(spark):
     half = early.where(ranking.first_half(early)).count()
     assert half == 2000
     assert ranking.first_half(early.limit(1)) is None
+
+
+@pytest.mark.parametrize("few", [1, 7, 10**6])
+def test_value_at_a_rank(spark, few):
+    rng = random.Random(few)
+    cases = {
+        "spread": [rng.randrange(-(10**15), 10**15) for _ in range(3000)],
+        "ties": [rng.choice([5, 5, 5, 9, rng.randrange(20)]) for _ in range(3000)],
+        "one value": [4] * 500,
+        "two values": [-1] * 400 + [8] * 100,
+    }
+    for values in cases.values():
+        frame = spark.createDataFrame([(v,) for v in values], "v bigint").repartition(8)
+        ordered = sorted(values)
+        for rank in (0, 1, len(values) // 2, len(values) - 1):
+            found = ranking.value_at(frame, rank, few)
+            assert found == (ordered[rank], ordered.index(ordered[rank]))
+
+
+@pytest.mark.parametrize("few", [1, 10**6])
+def test_first_half_with_ties_and_missing_times(spark, few):
+    rng = random.Random(3)
+    schema = "timestamp timestamp, post_id string"
+    for times in ([None], [DAY], [None, None, DAY], [DAY + timedelta(microseconds=i) for i in range(50)] + [DAY, DAY, None]):
+        rows = [(rng.choice(times), f"p{i:03d}") for i in range(201)]
+        posts = spark.createDataFrame(rows, schema)
+        first = sorted(rows, key=lambda r: (r[0] is not None, r[0] or DAY, r[1]))[:100]
+        assert sorted(r["post_id"] for r in posts.where(ranking.first_half(posts, few)).collect()) == sorted(r[1] for r in first)
+
+
+def test_first_half_numbers_only_posts_of_one_time(spark, monkeypatch):
+    posts = spark.range(5000).selectExpr("timestamp_micros(id * 1000) AS timestamp", "CAST(id AS STRING) AS post_id")
+    numbered, whole = [], ranking.number_rows
+    monkeypatch.setattr(ranking, "number_rows", lambda rows, order: numbered.append(rows.count()) or whole(rows, order))
+    assert posts.where(ranking.first_half(posts, 100)).count() == 2500 and numbered == [1]
