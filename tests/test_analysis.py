@@ -15,6 +15,7 @@ from tidewatch.plans import analysis, dashboard, enrichment, search
 from tidewatch.plans import topics as topic_plans
 from tidewatch.plans import trends as trend_plans
 from tidewatch.plans.preprocess import preprocess
+from tidewatch.sources import post_index
 from tidewatch.sources.store import Store, dataset_listing
 
 START = datetime(2026, 3, 2)
@@ -355,6 +356,16 @@ def test_run_end_to_end(spark, two_runs):
     parts = dashboard.dashboard(t, t["hourly_rollup"])
     assert parts["totals"].first()["total_posts"] == 32 and parts["totals"].first()["total_topics"] == 2
     assert [tuple(r)[1:] for r in parts["top_entities"].collect()] == [("OpenAI", "ORG", 32)]
+    without = dashboard.dashboard({k: v for k, v in t.items() if k != "posts_rollup"}, t["hourly_rollup"])
+    for part in ("totals", "platforms", "sentiment"):
+        assert "original_text" not in parts[part]._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, parts[part].collect())) == sorted(map(tuple, without[part].collect()))
+    assert post_index.is_indexed(store, "d")
+    found = search.search_run(store, first, "d", 5, 20)
+    scanned = search.search_posts(t["posts"], t["sentiment"], t["post_topics"], t["topics"], 5, 20)
+    assert [r["post_id"] for r in found.collect()] == [r["post_id"] for r in scanned.collect()]
+    total = search.search_total_of_run(store, first, "d", query="solar", label="positive").first()["total"]
+    assert total == search.search_total(t["posts"], t["sentiment"], t["post_topics"], query="solar", label="positive").first()["total"] > 0
     line = dashboard.run_timeline(t["posts"], t["sentiment"])
     assert [r["total_volume"] for r in line.orderBy("window_start").collect()] == [6, 10, 16]
 

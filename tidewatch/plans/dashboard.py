@@ -9,8 +9,8 @@ from tidewatch import fixed_values as V
 from tidewatch.functions import text as T
 from tidewatch.operators import entities as E
 from tidewatch.operators import filters, keywords
-from tidewatch.operators.buckets import hourly_rollup, timeline
-from tidewatch.operators.sentiment import sentiment_breakdown
+from tidewatch.operators.buckets import hourly_rollup, reference_clock, timeline
+from tidewatch.operators.sentiment import sentiment_breakdown, shares_of_counts
 from tidewatch.operators.trends import classification_counts
 from tidewatch.plans.analysis import load_run
 from tidewatch.plans.topics import top_mentions
@@ -18,10 +18,17 @@ from tidewatch.plans.trends import POST_COLUMNS, ranked_trends
 from tidewatch.sources.store import Store
 
 
-def platform_breakdown(posts: DataFrame) -> DataFrame:
+def _number_of_posts(posts_or_rollup: DataFrame) -> Column:
+    """Aggregate over posts, or over a rollup of them."""
+    if "volume" in posts_or_rollup.columns:
+        return F.coalesce(F.sum("volume"), F.lit(0).cast("bigint"))
+    return F.count(F.lit(1))
+
+
+def platform_breakdown(posts_or_rollup: DataFrame) -> DataFrame:
     """Posts per lower-cased platform; none counts as `other`."""
     named = F.lower(T.preferred_text(F.col("platform"), F.lit("other")))
-    return posts.groupBy(named.alias("platform")).agg(F.count(F.lit(1)).alias("posts"))
+    return posts_or_rollup.groupBy(named.alias("platform")).agg(_number_of_posts(posts_or_rollup).alias("posts"))
 
 
 def with_dataset_name(runs: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -84,21 +91,28 @@ def dashboard(
 ) -> dict[str, DataFrame]:
     """The summary's parts: totals, breakdowns and the top ten of each list.
 
-    Posts per platform and in total come from the rollup of all posts where the run has stored one.
+    The clock, totals, platforms and sentiment come from the rollup of all posts (`posts_rollup`) where
+    the run has stored one; the posts themselves are read for names, hashtags and words only.
     """
-    clock = tables["posts"].agg(F.max("timestamp").alias("clock")).scalar()
     posts = tables["posts"].where(filters.on_platform(platform))
+    stored = tables.get("posts_rollup")
+    clock = reference_clock(tables["posts"] if stored is None else stored)
     ranked = ranked_trends(rollup, window, platform, clock, run_id)
-    predictions = tables["sentiment"].join(posts.select("post_id"), "post_id", "left_semi")
+    if stored is None:
+        counted = posts
+        shares = sentiment_breakdown(tables["sentiment"].join(posts.select("post_id"), "post_id", "left_semi"))
+    else:
+        counted = stored.where(filters.on_platform(platform))
+        shares = shares_of_counts(counted.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in V.SENTIMENTS]))
     texts = posts.select(
         T.preferred_text(F.col("cleaned_text"), F.col("original_text")).alias("text")
     )
     counts = E.mention_counts(tables["entities"], tables["post_entities"], posts)
     tags = keywords.hashtag_counts(posts)
     return {
-        "totals": dashboard_totals(posts, ranked),
-        "platforms": platform_breakdown(posts),
-        "sentiment": sentiment_breakdown(predictions),
+        "totals": dashboard_totals(counted, ranked),
+        "platforms": platform_breakdown(counted),
+        "sentiment": shares,
         "classifications": classification_counts(ranked),
         "top_trends": ranked.limit(10),
         "top_entities": top_mentions(counts, 10),
@@ -107,12 +121,12 @@ def dashboard(
     }
 
 
-def dashboard_totals(posts: DataFrame, ranked: DataFrame) -> DataFrame:
+def dashboard_totals(posts_or_rollup: DataFrame, ranked: DataFrame) -> DataFrame:
     """Posts and ranked topics."""
     topics = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return posts.agg(
+    return posts_or_rollup.agg(
         F.lit("completed").alias("status"),
-        F.count(F.lit(1)).alias("total_posts"),
+        _number_of_posts(posts_or_rollup).alias("total_posts"),
         F.max(topics).alias("total_topics"),
     )
 
