@@ -2,7 +2,8 @@
 
 Only `max_features` terms survive, so the terms are found first and the weights computed for them
 alone. A pair of words is never more frequent than either word: once the words are counted, only
-pairs of words at or above the last place can enter, which keeps the pair count small and exact.
+pairs of words at or above the last place can enter, which keeps the pair count small and exact. Both
+are counted through summaries of bounded size (see `leading`), so no task ships its whole vocabulary.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewatch import fixed_values as V
 from tidewatch.functions import text as T
 from tidewatch.functions.numeric import round_exact
+from tidewatch.operators.leading import CAPACITY, leading_terms
 from tidewatch.session import checkpointed
 
 _MAX_LISTED_WORDS = 2000  # beyond this the frequent words are joined instead of listed
@@ -34,29 +36,33 @@ def _top(counts: DataFrame, n: int) -> DataFrame:
     return counts.orderBy(F.desc("total"), "term").limit(n)
 
 
-def top_terms(tokens: DataFrame, max_features: int) -> list[str]:
+def top_terms(tokens: DataFrame, max_features: int, capacity: int = CAPACITY) -> list[str]:
     """The most frequent words and pairs of `tokens` (column `tokens`); ties by term.
 
     Returns at most `max_features` strings.
     """
-    words = _count(_exploded(F.col("tokens"), "term", tokens))
+    words = leading_terms(tokens.select(F.col("tokens").alias("terms")), max_features, capacity)
     ranked = _top(words, max(_MAX_LISTED_WORDS, max_features) + 1).collect()
     leaders = ranked[:max_features]
     floor = leaders[-1]["total"] if len(leaders) == max_features else 0
     # A pair that reaches the last place consists of words that do.
     frequent = [r["term"] for r in ranked if r["total"] >= floor]
     following = F.slice("tokens", 2, F.greatest(F.size("tokens"), F.lit(1)))
-    zipped = F.arrays_zip(F.col("tokens").alias("a"), following.alias("b"))
-    pairs = _exploded(zipped, "p", tokens).select("p.a", "p.b").where(F.col("b").isNotNull())
     if len(frequent) < len(ranked) or len(ranked) <= _MAX_LISTED_WORDS:
-        pairs = pairs.where(F.col("a").isin(frequent) & F.col("b").isin(frequent))
+        # Each word is looked up once, and pairs are put together of those found.
+        found = F.transform("tokens", lambda w: F.when(w.isin(frequent), w))
+        after = F.slice("found", 2, F.greatest(F.size("found"), F.lit(1)))
+        joined = F.zip_with("found", after, lambda a, b: F.concat(a, F.lit(" "), b))
+        arrays = tokens.select(found.alias("found")).select(F.filter(joined, lambda p: p.isNotNull()).alias("terms"))
+        counted = leading_terms(arrays, max_features, capacity)
     else:  # too many words share the last place to list them
+        zipped = F.arrays_zip(F.col("tokens").alias("a"), following.alias("b"))
+        pairs = _exploded(zipped, "p", tokens).select("p.a", "p.b").where(F.col("b").isNotNull())
         known = words.where(F.col("total") >= floor).select("term")
         for side in ("a", "b"):
             pairs = pairs.join(known.withColumnRenamed("term", side), side, "left_semi")
-    pair_leaders = _top(
-        _count(pairs.select(F.concat_ws(" ", "a", "b").alias("term"))), max_features
-    ).collect()
+        counted = _count(pairs.select(F.concat_ws(" ", "a", "b").alias("term")))
+    pair_leaders = _top(counted, max_features).collect()
     best = sorted([*leaders, *pair_leaders], key=lambda r: (-r["total"], r["term"]))
     return [r["term"] for r in best[:max_features]]
 
@@ -160,11 +166,11 @@ def extract_keywords(
     )
 
 
-def frequent_words(texts: DataFrame, top_n: int) -> DataFrame:
+def frequent_words(texts: DataFrame, top_n: int, capacity: int = CAPACITY) -> DataFrame:
     """Words longer than three characters by frequency, all with the score 0.1."""
-    words = _exploded(T.split_space(F.col("text")), "term", texts)
+    words = texts.select(F.filter(T.split_space(F.col("text")), lambda w: F.length(w) > 3).alias("terms"))
     return (
-        _top(_count(words.where(F.length("term") > 3)), top_n)
+        _top(leading_terms(words, top_n, capacity), top_n)
         .select(
             F.col("term").alias("keyword"),
             F.lit("keyword").alias("keyword_type"),
