@@ -232,18 +232,19 @@ def cleaned_keywords(spark, sf_dir):
     return keywords.extract_keywords(checkpointed(texts), 15, 40)
 
 
-_FREQUENT = f"""SELECT w AS keyword, 'keyword' AS keyword_type, count(*) AS frequency, CAST(0.1 AS DOUBLE) AS tfidf_score FROM
-      (SELECT unnest(string_split_regex("text", {S.quoted(V.SPACE + "+")})) AS w FROM {{table}}) WHERE length(w) > 3
-    GROUP BY w ORDER BY count(*) DESC, w LIMIT {{n}}"""
+def _frequent_sql(table, n):
+    return f"""SELECT w AS keyword, 'keyword' AS keyword_type, count(*) AS frequency, CAST(0.1 AS DOUBLE) AS tfidf_score FROM
+      (SELECT unnest(string_split_regex("text", {S.quoted(V.SPACE + "+")})) AS w FROM {table}) WHERE length(w) > 3
+    GROUP BY w ORDER BY count(*) DESC, w LIMIT {n}"""
 
 
-@query("m3_frequent_words", _FREQUENT.format(table="conversations", n=50))
+@query("m3_frequent_words", _frequent_sql("conversations", 50))
 def frequent_words(spark, sf_dir):
     talks = T.text_table(spark, sf_dir, "conversations").select("text")
     return keywords.frequent_words(talks, 50)
 
 
-@query("m3_frequent_words_counted_twice", _FREQUENT.format(table="documents", n=20))
+@query("m3_frequent_words_counted_twice", _frequent_sql("documents", 20))
 def frequent_words_by_small_summaries(spark, sf_dir):
     """So few counters a task that the leaders must be counted a second time."""
     return keywords.frequent_words(T.text_table(spark, sf_dir, "documents").select("text"), 20, 200)

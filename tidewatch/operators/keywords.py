@@ -94,14 +94,22 @@ def extract_keywords(
     Columns: keyword, keyword_type (`ngram` for a pair), frequency among the blank-separated words
     (1 when it never occurs so), tfidf_score. Without any term, frequent long words are listed.
     """
-    texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
     # Texts are cut into words once; all that follows reads the tokens, and then the hits, as stored.
-    prepared = checkpointed(
-        texts.select(T.keyword_tokens(F.col("text"), stop_words).alias("tokens"), T.split_space(F.col("text")).alias("raw"))
-    )
+    prepared = checkpointed(texts.select(*keyword_words(F.col("text"), stop_words)))
+    return keywords_of_words(prepared, top_n, max_features)
+
+
+def keyword_words(text: Column, stop_words: list[str] | tuple = tuple(V.STOP_WORDS)) -> list[Column]:
+    """What `keywords_of_words` reads of a text: its `tokens`, and `raw`, its blank-separated words."""
+    text = F.coalesce(text, F.lit(""))
+    return [T.keyword_tokens(text, stop_words).alias("tokens"), T.split_space(text).alias("raw")]
+
+
+def keywords_of_words(prepared: DataFrame, top_n: int = 50, max_features: int = 100) -> DataFrame:
+    """`extract_keywords` of stored rows with the columns of `keyword_words`."""
     terms = top_terms(prepared.select("tokens"), max_features)
     if not terms:
-        return frequent_words(texts, top_n)
+        return _frequent(prepared.select("raw"), top_n, CAPACITY)
 
     hits = checkpointed(
         prepared.select(_listed(F.col("tokens"), terms).alias("hits"), _listed(F.col("raw"), terms).alias("raw_hits"))
@@ -168,7 +176,11 @@ def extract_keywords(
 
 def frequent_words(texts: DataFrame, top_n: int, capacity: int = CAPACITY) -> DataFrame:
     """Words longer than three characters by frequency, all with the score 0.1."""
-    words = texts.select(F.filter(T.split_space(F.col("text")), lambda w: F.length(w) > 3).alias("terms"))
+    return _frequent(texts.select(T.split_space(F.col("text")).alias("raw")), top_n, capacity)
+
+
+def _frequent(prepared: DataFrame, top_n: int, capacity: int) -> DataFrame:
+    words = prepared.select(F.filter("raw", lambda w: F.length(w) > 3).alias("terms"))
     return (
         _top(leading_terms(words, top_n, capacity), top_n)
         .select(

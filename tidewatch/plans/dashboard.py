@@ -10,11 +10,12 @@ from tidewatch.functions import text as T
 from tidewatch.operators import entities as E
 from tidewatch.operators import filters, keywords
 from tidewatch.operators.buckets import hourly_rollup, reference_clock, timeline
-from tidewatch.operators.sentiment import sentiment_breakdown, shares_of_counts
+from tidewatch.operators.sentiment import shares_of_counts
 from tidewatch.operators.trends import classification_counts
 from tidewatch.plans.analysis import load_run
 from tidewatch.plans.topics import top_mentions
 from tidewatch.plans.trends import POST_COLUMNS, ranked_trends
+from tidewatch.session import checkpointed
 from tidewatch.sources.store import Store
 
 
@@ -92,35 +93,57 @@ def dashboard(
     """The summary's parts: totals, breakdowns and the top ten of each list.
 
     The clock, totals, platforms and sentiment come from the rollup of all posts (`posts_rollup`) where
-    the run has stored one; the posts themselves are read for names, hashtags and words only.
+    the run has stored one. The posts shown are read once, cut into words and stored narrow.
     """
-    posts = tables["posts"].where(filters.on_platform(platform))
+    # The one scan of the posts' texts: all parts but the clock and the trends read what it stores.
+    text = T.preferred_text(F.col("cleaned_text"), F.col("original_text"))
+    posts = checkpointed(
+        tables["posts"].where(filters.on_platform(platform)).select("post_id", "platform", "hashtags", *keywords.keyword_words(text))
+    )
     stored = tables.get("posts_rollup")
     clock = reference_clock(tables["posts"] if stored is None else stored)
     ranked = ranked_trends(rollup, window, platform, clock, run_id)
+    counts = checkpointed(selection_counts(posts, tables["sentiment"] if stored is None else None))
+    tags = counts.where("kind = 'hashtag' AND value <> ''").select(
+        F.col("value").alias("hashtag"), F.col("n").alias("frequency"), F.lit(None).cast("double").alias("growth_rate")
+    )
     if stored is None:
-        counted = posts
-        shares = sentiment_breakdown(tables["sentiment"].join(posts.select("post_id"), "post_id", "left_semi"))
+        counted = counts.where("kind = 'platform'").select(F.col("value").alias("platform"), F.col("n").alias("volume"))
+        labelled = [F.coalesce(F.sum(F.when(F.col("value") == s, F.col("n"))), F.lit(0)).alias(s) for s in V.SENTIMENTS]
+        shares = shares_of_counts(counts.where("kind = 'sentiment'").agg(*labelled))
     else:
         counted = stored.where(filters.on_platform(platform))
         shares = shares_of_counts(counted.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in V.SENTIMENTS]))
-    texts = posts.select(
-        T.preferred_text(F.col("cleaned_text"), F.col("original_text")).alias("text")
-    )
-    counts = E.mention_counts(tables["entities"], tables["post_entities"], posts)
-    tags = keywords.hashtag_counts(posts)
+    mentions = E.mention_counts(tables["entities"], tables["post_entities"], posts)
     return {
         "totals": dashboard_totals(counted, ranked),
         "platforms": platform_breakdown(counted),
         "sentiment": shares,
         "classifications": classification_counts(ranked),
         "top_trends": ranked.limit(10),
-        "top_entities": top_mentions(counts, 10),
+        "top_entities": top_mentions(mentions, 10),
         "top_hashtags": tags.orderBy(F.desc("frequency"), "hashtag").limit(10),
-        "top_keywords": keywords.extract_keywords(texts, 10),
+        "top_keywords": keywords.keywords_of_words(posts, 10),
     }
 
 
+def selection_counts(posts: DataFrame, sentiment: DataFrame | None = None) -> DataFrame:
+    """(kind, value, n): posts per platform and per hashtag, and per sentiment label if that table is given.
+
+    Every post becomes a row per value, and one grouping counts them all, summed up before the shuffle.
+    """
+
+    def entry(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+
+    tags = F.transform(F.coalesce("hashtags", F.array().cast("array<string>")), lambda h: entry("hashtag", h))
+    rows = posts.select(F.explode_outer(F.concat(F.array(entry("platform", F.col("platform"))), tags)).alias("e"))
+    if sentiment is not None:
+        shown = sentiment.join(posts.select("post_id"), "post_id", "left_semi")
+        rows = rows.union(shown.select(entry("sentiment", F.col("label")).alias("e")))
+    return rows.groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def dashboard_totals(posts_or_rollup: DataFrame, ranked: DataFrame) -> DataFrame:
     """Posts and ranked topics."""
     topics = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
