@@ -13,6 +13,7 @@ from tidewatch.operators import filters, keywords
 from tidewatch.operators.buckets import hourly_rollup, timeline
 from tidewatch.operators.ranking import page
 from tidewatch.plans.trends import POST_COLUMNS, trend_histories
+from tidewatch.session import checkpointed
 
 TREND_COLUMNS = ("trend_score", "classification", "volume_current", "window_start")
 
@@ -112,24 +113,24 @@ def topic_dossier(
     every = topic_posts(posts, links, sentiment, topic_id).select("topic_id", "sentiment", *POST_COLUMNS)
     rollup = hourly_rollup(every)
     here = rollup.where(filters.on_platform(platform))
-    texts = rows.select(
-        T.preferred_text(F.col("cleaned_text"), F.col("original_text")).alias("text")
-    )
+    # The topic's texts are joined and read once; the trend reads narrow columns, the sample its own few posts.
+    text = T.preferred_text(F.col("cleaned_text"), F.col("original_text"))
+    shown = checkpointed(rows.select("post_id", "sentiment", "hashtags", *V.ENGAGEMENT_FIELDS, *keywords.keyword_words(text)))
     history = trend_histories(
         rollup.join(
             tables["topics"].where(filters.not_outlier()).select("topic_id"), "topic_id", "left_semi"
         ),
         window, platform, topic_id, clock,
     )
-    counts = E.mention_counts(tables["entities"], tables["post_entities"], rows)
+    counts = E.mention_counts(tables["entities"], tables["post_entities"], shown)
     return {
         "topic": tables["topics"].where(F.col("topic_id") == topic_id),
-        "post_count": rows.agg(F.count(F.lit(1)).alias("post_count")),
-        "sentiment_distribution": sentiment_distribution(rows),
-        "avg_engagement": average_engagement(rows),
+        "post_count": shown.agg(F.count(F.lit(1)).alias("post_count")),
+        "sentiment_distribution": sentiment_distribution(shown),
+        "avg_engagement": average_engagement(shown),
         "entities": top_mentions(counts, 20),
-        "keywords": keywords.extract_keywords(texts, 15),
-        "hashtags": keywords.hashtag_counts(rows).orderBy(F.desc("frequency"), "hashtag"),
+        "keywords": keywords.keywords_of_words(shown, 15),
+        "hashtags": keywords.hashtag_counts(shown).orderBy(F.desc("frequency"), "hashtag"),
         "trend_history": history,
         "timeline": timeline(here, window, clock),
         "sample_posts": sample_posts(rows),
