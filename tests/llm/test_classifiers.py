@@ -1,7 +1,9 @@
 """Quality and toxicity: held-out accuracy, no use of held-out labels, defined scores for odd texts."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -105,6 +107,38 @@ def test_indicators_are_distinct_and_per_document():
     assert {f for d, f in pairs if d == 2} - {f for d, f in pairs if d == 0} != {f for d, f in pairs if d == 2}
 
 
+def test_quality_training_equals_plain_loops():
+    """Log-count ratios, dual coordinate descent and margins, a number at a time."""
+    rows, marks = labelled(60)
+    texts = [t.encode() for _, t in rows]
+    features = [quality.indicators([t])[1].astype(np.int64) for t in texts]
+    labels = [m[1] for m in marks]
+    model = quality.train(features, labels, epochs=3)
+
+    docs, signs = [f.tolist() for f in features], [1 if k else -1 for k in labels]
+    counts = {c: Counter(f for d, y in zip(docs, signs) if y == c for f in d) for c in (1, -1)}
+    whole = {c: quality.FEATURES + sum(counts[c].values()) for c in (1, -1)}
+    ratio = {f: math.log((1 + counts[1][f]) / whole[1]) - math.log((1 + counts[-1][f]) / whole[-1]) for d in docs for f in d}
+    vectors = []
+    for d in docs:
+        length = math.sqrt(sum(ratio[f] ** 2 for f in d))
+        vectors.append({f: ratio[f] / length for f in d})
+    weights, bias, duals = dict.fromkeys(ratio, 0.0), 0.0, [0.0] * len(docs)
+    order = np.random.default_rng(5)
+    for _ in range(3):
+        for i in order.permutation(len(docs)).tolist():
+            margin = sum(weights[f] * x for f, x in vectors[i].items()) + bias
+            most = len(docs) / (2 * signs.count(signs[i]))
+            new = min(max(duals[i] - (signs[i] * margin - 1) / 2, 0.0), most)
+            for f, x in vectors[i].items():
+                weights[f] += (new - duals[i]) * signs[i] * x
+            bias += (new - duals[i]) * signs[i]
+            duals[i] = new
+    expected = [sum(weights[f] * x for f, x in v.items()) + bias for v in vectors]
+    assert math.isclose(model.bias, bias, abs_tol=1e-9)
+    assert np.allclose(quality.margins(texts, model), expected, atol=1e-4)
+
+
 def test_without_toxic_keeps_columns(spark, corpus, odd):
     docs, marks, _ = corpus
     _, table = odd
