@@ -381,3 +381,16 @@ def test_two_writers_take_versions_one_after_the_other(spark, tmp_path, monkeypa
     rows = store.runs().collect()
     assert len(rows) == 1 and rows[0]["status"] == "failed" and rows[0]["completed_at"] is not None
     assert sorted(versions(f"{store.path('runs')}/dataset_id=d1/analysis_run_id=r1")) == [1, 2, 3]
+
+
+def test_parsing_stands_once_in_a_plan(spark):
+    """Checks, filters and sums on a parsed time must not write its patterns out again and again."""
+    mapped = spark.createDataFrame([("f", 0, "a text", "May 5, 2024 3:07 pm", "x")], "source_file string, row_index long, text string, timestamp string, platform string")
+    checked = validation.check_rows(mapped)
+    counted = validation.platform_distribution(checked)
+    joined = checked.join(checked.where(~F.col("is_valid")).select(*validation.ROW_KEY), list(validation.ROW_KEY), "left_anti")
+    parsed = mapped.select(parse_timestamp(F.col("timestamp")).alias("t"))
+    for rows in (counted, joined.select("row_index"), parsed):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") < 30 and plan.lower().count("rlike") < 100
+    assert [tuple(r) for r in counted.collect()] == [("x", 1)] and joined.count() == 1
