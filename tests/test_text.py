@@ -124,3 +124,18 @@ def test_preprocessing(spark):
 def test_topic_names(spark, words, index, expected):
     frame = spark.createDataFrame([(words, index)], "words array<string>, i int")
     assert frame.select(topic_name(F.col("words"), F.col("i"))).first()[0] == expected
+
+
+def test_urls_are_sought_between_blanks_and_hits_found_once(spark):
+    text = "a  b\t\n c see\u00a0https://a.org/x(1) (www.b.com/y) d.io/zz!  -c.io/z #Ab #aB @Me @ME e.org/ http:// x "
+    expected = ["https://a.org/x(1)", "www.b.com/y", "d.io/zz", "c.io/z"]
+    row = one(spark, text, T.extract_urls(F.col("text")), T.collapse_space(F.col("text")), T.extract_hashtags(F.col("text")), T.extract_mentions(F.col("text")))
+    assert row[0][:3] == expected[:3] and row[2] == ["Ab"] and row[3] == ["Me"]
+    assert row[1] == re.sub(r"\s+", " ", text).strip()
+    whole = F.regexp_extract_all(F.col("text"), F.lit(T.URL), F.lit(0))
+    assert row[0] == list(dict.fromkeys(one(spark, text, whole)[0]))
+    assert one(spark, text, T.ner_text(F.col("text")))[0] == re.sub(r"\s+", " ", one(spark, text, F.regexp_replace("text", T.URL, " "))[0].replace("#", "")).strip()
+    posts = spark.createDataFrame([(text,)], "text string")
+    for use in (T.extract_hashtags, T.extract_mentions, T.cleaned):
+        plan = posts.select(use(F.concat("text", F.lit("x"))).alias("found")).where("true")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("concat(") == 1
