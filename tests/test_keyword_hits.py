@@ -1,4 +1,4 @@
-"""Terms counted within a document, against plain loops; marks are sought before what stands before them."""
+"""Terms counted within a document, against plain loops; marks, white space and vectors without numbers."""
 
 import random
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
 from tidewatch.operators.keywords import _hits
+from tidewatch.operators.topics import discover_topics
 
 TERMS = ["aaa", "bbb ccc", "ddd", "aaa aaa"]
 
@@ -36,3 +37,14 @@ def test_marks_and_white_space(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     found = rows.select("i", T.extract_mentions(F.col("t")), T.extract_hashtags(F.col("t")), T._single_blanks(F.col("t"))).orderBy("i").collect()
     assert found[0][1] == ["a", "f", "g", "i"] and found[1][2] == ["a", "f", "g"] and found[2][3] == "a b c d e "
+
+
+def test_vectors_without_numbers_are_outliers(spark):
+    """Null vectors lie among others of their batch and get no cell; the others keep theirs."""
+    vectors = [[1.0, 0.0], [0.0, 1.0]] * 40
+    rows = [(i, None if i % 10 == 3 else [0.0, 0.0] if i % 10 == 4 else v) for i, v in enumerate(vectors)]
+    found = discover_topics(spark.createDataFrame(rows, "post_id int, embedding array<float>")).collect()
+    topics = {r["post_id"]: r["topic_index"] for r in found}
+    assert len(topics) == len(rows) and {t for i, t in topics.items() if i % 10 in (3, 4)} == {-1}
+    sides = [{t for i, t in topics.items() if i % 2 == side and i % 10 not in (3, 4)} for side in (0, 1)]
+    assert all(len(s) == 1 for s in sides) and sides[0] != sides[1] and -1 not in sides[0] | sides[1]
