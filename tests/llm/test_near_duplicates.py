@@ -164,3 +164,19 @@ def test_one_pivot_joins_near_copies(spark, monkeypatch):
     docs = importable(spark).createDataFrame(rows, "doc_id long, text string")
     assert {r.class_id for r in near_duplicates.find_classes(docs).collect()} == {0}
     assert sum(aligned) <= 400
+
+
+def test_rows_learn_their_blocks_once(spark, monkeypatch):
+    """The rows (key, document) are joined with the sizes of their groups once, not again for the keys of a document."""
+    shared, plans, checkpointed = prose(41, 60, 3000), [], near_duplicates.checkpointed
+
+    def seen(df):
+        if "members" in df.columns:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return checkpointed(df)
+
+    monkeypatch.setattr(near_duplicates, "checkpointed", seen)
+    rows = [(k, shared + " " + prose(600 + k, 40, 3000)) for k in range(12)]
+    docs = importable(spark).createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates.find_classes(docs).collect()} == classes(rows)
+    assert [sum("Join Inner" in line and "level" in line for line in plan.split("\n")) for plan in plans] == [1]
