@@ -180,3 +180,41 @@ def test_rows_learn_their_blocks_once(spark, monkeypatch):
     docs = importable(spark).createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_duplicates.find_classes(docs).collect()} == classes(rows)
     assert [sum("Join Inner" in line and "level" in line for line in plan.split("\n")) for plan in plans] == [1]
+
+
+def test_groups_of_a_common_word_pair(spark, monkeypatch):
+    """Unlike documents that hold one word pair often share many keys: few pairs are aligned, a document is in few united groups."""
+    rows = [(k, prose(800 + k, 95, 3000) + " is onhe" * 110) for k in range(80)]
+    rows += [(100 + k, edited(rows[k][1], 900 + k, 0.1)) for k in range(0, 80, 20)]
+    verified, checkpointed, aligned, placed = near_duplicates._verified, near_duplicates.checkpointed, [], []
+
+    def counted(pairs, words, similarity):
+        aligned.append(pairs.count())
+        return verified(pairs, words, similarity)
+
+    def seen(df):
+        out = checkpointed(df)
+        if set(df.columns) == {"key", "doc_id", "label", "level"}:
+            placed.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_duplicates, "_verified", counted)
+    monkeypatch.setattr(near_duplicates, "checkpointed", seen)
+    docs = importable(spark).createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_duplicates.find_classes(docs).collect()}
+    assert found == classes(rows) and all(found[100 + k] == found[k] for k in range(0, 80, 20))
+    assert sum(aligned) <= 4 * len(rows)
+    assert sum(placed) <= 20 * len(rows)
+
+
+def test_bounds_of_distances():
+    """A bound from counts is never above the distance, not with words that are counted past 255 either."""
+    pick, texts = np.random.default_rng(8), []
+    for k in range(40):
+        words = pick.integers(0, 1 << 62, 60).astype(np.uint64) if k % 4 == 0 else texts[-1][pick.random(len(texts[-1])) > 0.1]
+        texts.append(np.concatenate([words, np.repeat(words[:1], 400 if k % 8 == 0 else 0)]))
+    counts = np.frombuffer(b"".join(map(near_duplicates.word_counts, texts)), np.uint8).reshape(len(texts), -1)
+    sizes = np.array([len(t) for t in texts])
+    for i, text in enumerate(texts):
+        true = [near_duplicates.distance_within(text.tolist(), t.tolist(), max(len(t), len(text))) for t in texts]
+        assert (near_duplicates._least_distances(counts, sizes, counts[i], sizes[i]) <= true).all()

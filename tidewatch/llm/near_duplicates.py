@@ -13,9 +13,11 @@ key is decided.
 
 Exact copies are folded into their least id first, so copies are never paired. Each document then is
 compared with one pivot, of the least documents of its groups of equal keys the one it shares most keys
-with; where that leaves it apart, with a second. That leaves groups of equal keys that hold documents of different components. Of those, all pairs from different components are compared, linked or not: by
-length and by a lower bound of the distance from counts of hashed words, in blocks of documents of
-like length, then those within the bound by alignment, the closest first, so that what they connect
+with; where that leaves it apart, with a second. That leaves groups of equal keys that hold documents of different components.
+A passage of many documents makes many such groups of nearly the same documents; so groups are united in which the same document has
+the least hash, as likely as they overlap, and a document stands once in each union. In those, all pairs from different components
+are compared, linked or not: by length and by a lower bound of the distance from counts of hashed words, first in few bins, then in
+more, in blocks of documents of like length, then those within the bound by alignment, the closest first, so that what they connect
 needs no more comparing. Classes are the connected components of all verified links.
 
 The block step is exact and grows with the square of the number of documents of like length in a
@@ -44,8 +46,8 @@ K, L, SKETCHES = 3, 2, 96
 #: Words up to which a text has `short_keys`; from 0.8 times that on it has sketches.
 SHORT = 40
 PIVOT_ROUNDS = 2
-#: Counts of hashed words that bound a distance, and documents of a block.
-BINS, BLOCK = 256, 512
+#: Counts of hashed words that bound a distance, at first and for what that leaves, and documents of a block.
+BINS, FINE, BLOCK = 256, 1024, 512
 _SEEDS = np.random.default_rng(17).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -117,8 +119,15 @@ def keys_of(words: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def word_counts(words: np.ndarray) -> bytes:
-    """How many words have each hash below `BINS`, at most 255. An edit changes two counts by one."""
-    return np.minimum(np.bincount((words & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """How many words have each hash below `FINE`, at most 255. An edit changes two counts by one."""
+    return np.minimum(np.bincount((words & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes()
+
+
+def _least_distances(counts: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int) -> np.ndarray:
+    """Lower bounds of the distances of one text, by its counts of hashed words and its length, to others."""
+    common = np.minimum(counts, own).sum(axis=1, dtype=np.int64)
+    sums = np.maximum(counts.sum(axis=1, dtype=np.int64), own.sum(dtype=np.int64))
+    return np.maximum(sums - common, np.abs(sizes - size))
 
 
 def distance_within(a: list, b: list, most: int) -> int | None:
@@ -216,7 +225,7 @@ def _within_bound(blocks: DataFrame, similarity: float) -> DataFrame:
     """(doc_id, pivot, bound): the pairs of different components in two blocks, or in one, whose edit
     distance can be within the band, and its lower bound as a share of the longer.
 
-    Pairs with several keys in common are compared under the least of them.
+    Pairs that meet under several keys are compared under the least of them.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +237,12 @@ def _within_bound(blocks: DataFrame, similarity: float) -> DataFrame:
                     column = batch.column(name + "members")
                     members = column.values.slice(column.offsets[row].as_py(), column.offsets[row + 1].as_py() - column.offsets[row].as_py())
                     ids, labels, sizes = (members.field(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "label", "n"))
-                    counts = np.frombuffer(b"".join(members.field("counts").to_pylist()), np.uint8).reshape(-1, BINS)
+                    fine = np.frombuffer(b"".join(members.field("counts").to_pylist()), np.uint8).reshape(-1, FINE)
+                    counts = np.minimum(fine.reshape(-1, FINE // BINS, BINS).sum(axis=1, dtype=np.uint16), 255).astype(np.uint8)
                     lists = members.field("keys")
-                    side.append((ids, labels, sizes, counts, counts.sum(axis=1, dtype=np.int64)))
+                    side.append((ids, labels, sizes, counts, fine))
                     keys.append((np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()))
-                (ids, labels, sizes, counts, sums), (ids2, labels2, sizes2, counts2, sums2) = side
+                (ids, labels, sizes, counts, fine), (ids2, labels2, sizes2, counts2, fine2) = side
                 if min(labels.min(), labels2.min()) == max(labels.max(), labels2.max()):
                     continue
                 same = batch.column("same")[row].as_py()
@@ -244,10 +254,10 @@ def _within_bound(blocks: DataFrame, similarity: float) -> DataFrame:
                     if same:
                         at &= ids2 > ids[i]
                     at = np.flatnonzero(at)
+                    at = at[_least_distances(counts2[at], sizes2[at], counts[i], sizes[i]) <= most[at]]
                     if not len(at):
                         continue
-                    common = np.minimum(counts2[at], counts[i]).sum(axis=1, dtype=np.int64)
-                    least = np.maximum(np.maximum(sums2[at], sums[i]) - common, np.abs(sizes2[at] - sizes[i]))
+                    least = _least_distances(fine2[at], sizes2[at], fine[i], sizes[i])
                     fits = least <= most[at]
                     at = at[fits]
                     docs.append(np.maximum(ids2[at], ids[i]))
@@ -260,17 +270,20 @@ def _within_bound(blocks: DataFrame, similarity: float) -> DataFrame:
 
 
 def _block_pairs(groups: DataFrame, labels: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """(key, members, other_members, same): blocks of documents of one group, of which some pair may be alike
-    and is in different components `labels` (doc_id, label). Every such pair is in some row."""
+    """(key, members, other_members, same): blocks of documents of united groups, of which some pair may be alike
+    and is in different components `labels` (doc_id, label). Every such pair is in some row. `key` is from here
+    on the document of the least hash in each of the groups united."""
     rows = groups.select("key", "doc_id").join(labels, "doc_id")
     found = rows.groupBy("key").agg(
-        F.count("*").alias("size"), F.expr("bit_xor(xxhash64(doc_id))").alias("set"), F.min("label").alias("lo"), F.max("label").alias("hi")
-    )
+        F.count("*").alias("size"), F.expr("bit_xor(xxhash64(doc_id))").alias("set"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.expr("min(struct(xxhash64(doc_id, 11), doc_id)).doc_id").alias("least"),
+    )
     # Groups of the same documents need comparing once.
-    open_keys = found.where("lo < hi").groupBy("size", "set").agg(F.min("key").alias("key")).select("key")
+    open_keys = found.where("lo < hi").groupBy("size", "set").agg(F.min(F.struct("key", "least")).alias("one")).select("one.*")
     # Texts whose lengths differ by no more than the band are in one class of lengths or in two next ones.
     level = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
-    rows = checkpointed(rows.join(open_keys, "key").join(words.select("doc_id", level.alias("level")), "doc_id"))
+    rows = rows.join(open_keys, "key").select(F.col("least").alias("key"), "doc_id", "label").distinct()
+    rows = checkpointed(rows.join(words.select("doc_id", level.alias("level")), "doc_id"))
     keys = rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     sizes = rows.groupBy("key", "level").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     below = sizes.select("key", (F.col("level") + 1).alias("level"), F.col("blocks").alias("blocks_below"))
