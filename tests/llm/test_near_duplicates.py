@@ -218,3 +218,14 @@ def test_bounds_of_distances():
     for i, text in enumerate(texts):
         true = [near_duplicates.distance_within(text.tolist(), t.tolist(), max(len(t), len(text))) for t in texts]
         assert (near_duplicates._least_distances(counts, sizes, counts[i], sizes[i]) <= true).all()
+
+
+def test_pivots_are_central(spark):
+    """The pivot is the document that shares keys with most others, whatever its number."""
+    held = [(k, d) for k in range(1, 6) for d in (k, 9)] + [(6, d) for d in (0, 1, 2, 3, 4, 5, 9)] + [(7, 3)]
+    groups = near_duplicates._groups(spark.createDataFrame(held, "key long, doc_id long"))
+    first = near_duplicates._best_pivots(groups, None, None)
+    assert sorted(map(tuple, first.collect())) == [(9, k) for k in range(6)]
+    labels = spark.createDataFrame([(k, 1 if k in (1, 9) else k) for k in (0, 1, 2, 3, 4, 5, 9)], "node long, label long")
+    tested = spark.createDataFrame([(9, k) for k in range(4)], "doc_id long, pivot long")
+    assert sorted(map(tuple, near_duplicates._best_pivots(groups, labels, tested).collect())) == [(9, 4), (9, 5)]

@@ -12,8 +12,8 @@ word replaced, Jaccard 0.25, with 0.2 %. Those are the only links that can be lo
 key is decided.
 
 Exact copies are folded into their least id first, so copies are never paired. Each document then is
-compared with one pivot, of the least documents of its groups of equal keys the one it shares most keys
-with; where that leaves it apart, with a second. That leaves groups of equal keys that hold documents of different components.
+compared with one pivot: each of its groups of equal keys offers the document whose groups hold most
+documents, and it takes the one it shares most keys with; where that leaves it apart, with a second. That leaves groups of equal keys that hold documents of different components.
 A passage of many documents makes many such groups of nearly the same documents; so groups are united in which the same document has
 the least hash, as likely as they overlap, and a document stands once in each union. In those, all pairs from different components
 are compared, linked or not: by length and by a lower bound of the distance from counts of hashed words, first in few bins, then in
@@ -179,26 +179,33 @@ def distance_within(a: list, b: list, most: int) -> int | None:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """(key, doc_id, pivot) of the rows (key, doc_id) whose key several documents hold; the pivot is the least."""
-    pivots = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
-    return rows.join(pivots.where("pivot < last").select("key", "pivot"), "key")
+    """(key, doc_id, weight) of the rows (key, doc_id) whose key several documents hold; a document's weight is how many its groups hold."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = checkpointed(rows.join(sizes, "key"))
+    weights = rows.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    return rows.join(weights, "doc_id").select("key", "doc_id", "weight")
 
 
-def _best_pivots(groups: DataFrame, labels: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """(doc_id, pivot): for each document the pivot it shares most keys with, the least of equals, among
+def _best_pivots(groups: DataFrame, labels: DataFrame | None, tested: DataFrame | None) -> DataFrame:
+    """(doc_id, pivot), the greater first: for each document the pivot it shares most keys with, the least of equals, among
     those of other components (`labels`: node, label). Pairs in `tested` are known to be unlike or linked."""
+    head = F.max(F.struct("weight", (-F.col("doc_id")).alias("back"))).alias("head")
+    pivot = (-F.col("head.back")).alias("pivot")
     if tested is None:
-        pairs = groups.where("doc_id > pivot").select("doc_id", "pivot")
+        pairs = groups.select("key", "doc_id").join(groups.groupBy("key").agg(head).select("key", pivot), "key").where("doc_id != pivot")
     else:
-        rows = groups.select("key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id")
-        heads = rows.groupBy("key").agg(F.min(F.struct("doc_id", "label")).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        heads = heads.where("lo < hi").select("key", F.col("head.doc_id").alias("pivot"), F.col("head.label").alias("other"))
-        pairs = rows.join(heads, "key").where("label != other").select("doc_id", "pivot")
+        rows = groups.join(labels.withColumnRenamed("node", "doc_id"), "doc_id")
+        head = F.max(F.struct("weight", (-F.col("doc_id")).alias("back"), "label")).alias("head")
+        heads = rows.groupBy("key").agg(head, F.min("label").alias("lo"), F.max("label").alias("hi"))
+        heads = heads.where("lo < hi").select("key", pivot, F.col("head.label").alias("other"))
+        pairs = rows.join(heads, "key").where("label != other")
     pairs = pairs.groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("n"))
     if tested is not None:
-        pairs = pairs.join(tested, ["doc_id", "pivot"], "left_anti")
-    best = pairs.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("back"))).alias("best"))
-    return best.select("doc_id", (-F.col("best.back")).alias("pivot"))
+        known = tested.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+        known = known.union(known.select("b", "a")).toDF("doc_id", "pivot")
+        pairs = pairs.join(known, ["doc_id", "pivot"], "left_anti")
+    best = pairs.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("back"))).alias("head")).select("doc_id", pivot)
+    return best.select(F.greatest("doc_id", "pivot").alias("doc_id"), F.least("doc_id", "pivot").alias("pivot")).distinct()
 
 
 def _meet_before(key: int, keys: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
