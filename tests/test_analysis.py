@@ -582,3 +582,13 @@ def test_gazetteer_of_several_tries(spark, monkeypatch):
                 begin = len(" ".join(parts[:a])) + (a > 0) + len(raw) - len(raw.lstrip(" \t\n.,;:!?"))
                 expected |= {(i, clean, label, begin, begin + len(clean)) for n, label in names if clean and clean.lower() == n}
     assert set(whole) == expected and len(expected) > 100
+
+
+def test_tagged_texts_are_computed_once(spark):
+    """Null texts have no names, and no filter computes the texts a second time to find them."""
+    names = spark.createDataFrame([("Ada Byron", "PERSON")], "phrase string, label string")
+    posts = spark.createDataFrame([(1, "met Ada Byron"), (2, None), (3, "")], "post_id long, original_text string")
+    texts = posts.select("post_id", F.regexp_replace("original_text", "^met ", "saw ").alias("text"))
+    found = E.gazetteer_candidates(texts, names)
+    assert [(r.post_id, r.text, r.start_char) for r in found.collect()] == [(1, "Ada Byron", 4)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("^met ") == 1

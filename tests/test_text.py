@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch import fixed_values as V
 from tidewatch.functions import text as T
 from tidewatch.functions.naming import topic_name
 from tidewatch.plans.preprocess import preprocess, preprocessing_summary
@@ -139,3 +140,12 @@ def test_urls_are_sought_between_blanks_and_hits_found_once(spark):
     for use in (T.extract_hashtags, T.extract_mentions, T.cleaned):
         plan = posts.select(use(F.concat("text", F.lit("x"))).alias("found")).where("true")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("concat(") == 1
+
+
+def test_blanks_of_any_runs(spark):
+    """Runs of white space become one blank, whatever stands beside them; visible characters stay."""
+    pick = random.Random(8)
+    letters = [*V.SPACES, " ", " ", " ", "\n", "a", "!", "~", "é", "\x7f", "\x00", "​", "漢", "😀"]
+    texts = ["", " ", "　", " \n", "a b", "a  b", "a\xa0b", *("".join(pick.choices(letters, k=pick.randint(1, 12))) for _ in range(400))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T._single_blanks(F.col("t")).alias("t"))
+    assert {r.i: r.t for r in rows.collect()} == {i: re.sub(f"[{re.escape(V.SPACES)}]+", " ", t) for i, t in enumerate(texts)}
